@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words in a trie at once, encodings remembered in a worker, texts whose new words are gathered first.
-TRIE_WORDS, MEMO_WORDS, BATCH_TEXTS = 20_000, 1_000_000, 256
+TRIE_WORDS, MEMO_WORDS, BATCH_TEXTS = 20_000, 700_000, 256
 #: The split of byte-level BPE (public; the same for every vocabulary of this family).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -130,7 +130,9 @@ class Coder:
         for word in words:
             node = root
             for byte in word.encode():
-                node = node.setdefault(byte, {})
+                if (below := node.get(byte)) is None:
+                    below = node[byte] = {}
+                node = below
             node[-1] = word  # the end of a word
         last_of, length_of, longest, apart = self.last_of, self.length_of, self.longest, self.apart
         state: list[int] = [-1] * (1 + max(len(w.encode()) for w in words))  # last tokens along the path, by depth
@@ -168,7 +170,7 @@ class Coder:
             self.memo.clear()
             self.apart.clear()
         cut, memo = [self.parts(t) for t in texts], self.memo
-        self.learn(list({w for parts in cut for special, p in parts if not special for w in p} - memo.keys()))
+        self.learn(list({w for parts in cut for special, p in parts if not special for w in p if w not in memo}))
         one = lambda special, p: self.special[p] if special else b"".join(map(memo.__getitem__, p))
         return [b"".join(one(*p) for p in parts) for parts in cut]
 
@@ -187,6 +189,10 @@ def _coder(key: str, spec) -> Coder:
     return _CODERS[key]
 
 
+def _encoded(coder: Coder, texts: list[str]) -> list[bytes]:
+    return [ids for at in range(0, len(texts), BATCH_TEXTS) for ids in coder.encode(texts[at : at + BATCH_TEXTS])]
+
+
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` with a binary column ``ids``: the tokens of the whole text, little-endian unsigned 32-bit integers.
 
@@ -199,14 +205,26 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "t
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(tokenizer_path, spec)
         for batch in batches:
-            texts, out = batch.fillna("").tolist(), []
-            for at in range(0, len(texts), BATCH_TEXTS):
-                out += coder.encode(texts[at : at + BATCH_TEXTS])
-            yield pd.Series(out, dtype=object)
+            yield pd.Series(_encoded(coder, batch.fillna("").tolist()), dtype=object)
 
     return df.withColumn(ids, encoded(F.col(f"`{text}`")))
 
 
+def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids", back: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a worker holds one set of tables; null texts count as empty."""
+    spec = df.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path))
+
+    @F.pandas_udf("ids binary, back string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder = _coder(tokenizer_path, spec)
+        for batch in batches:
+            found = _encoded(coder, batch.fillna("").tolist())
+            yield pd.DataFrame({"ids": found, "back": list(map(coder.decode, found))}, dtype=object)
+
+    coded = df.withColumn("__coded", both(F.col(f"`{text}`")))
+    return coded.withColumns({ids: F.col("__coded.ids"), back: F.col("__coded.back")}).drop("__coded")
+
+
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``df`` with a string column ``text`` decoded from ``ids``; null ids give null, bytes that are no UTF-8 U+FFFD."""
     spec = df.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path))
