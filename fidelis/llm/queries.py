@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, decontam, neardup
+from fidelis.llm import bpe, decontam, linededup, neardup
 from fidelis.llm.common import table
 
 
@@ -39,10 +39,17 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that are left when recurring templates are dropped but for their first document."""
+    docs = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op7_bpe": op7_bpe,
     "op9_spaced_seeds": op9_spaced_seeds,
+    "op10_line_templates": op10_line_templates,
 }
 
 #: Queries that SQL can express.
