@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, decontam, linededup, neardup
+from fidelis.llm import bpe, decontam, langid, linededup, neardup
 from fidelis.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op3_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose fold of three isn't 1."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    prototypes = langid.train(docs.filter(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,6 +55,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
+    "op3_hyperdimensional": op3_hyperdimensional,
     "op7_bpe": op7_bpe,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_line_templates": op10_line_templates,
