@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, decontam, langid, linededup, neardup
+from fidelis.llm import bpe, decontam, langid, linededup, neardup, toxicity
 from fidelis.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op3_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of those whose fold of five isn't 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(langid.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +64,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_hyperdimensional": op3_hyperdimensional,
+    "op5_compression": op5_compression,
     "op7_bpe": op7_bpe,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_line_templates": op10_line_templates,
