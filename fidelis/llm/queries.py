@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, decontam, langid, linededup, neardup, toxicity
+from fidelis.llm import bpe, decontam, langid, linededup, neardup, pages, toxicity
 from fidelis.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op5_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_hyperdimensional": op3_hyperdimensional,
     "op5_compression": op5_compression,
+    "op6_site_templates": op6_site_templates,
     "op7_bpe": op7_bpe,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_line_templates": op10_line_templates,
