@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, decontam, langid, linededup, neardup, pages, toxicity
+from fidelis.llm import bpe, chat, decontam, langid, linededup, neardup, pages, toxicity
 from fidelis.llm.common import table
 
 
@@ -17,6 +17,14 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts hold the marks, formatted and read back."""
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(turns.unionByName(more)))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-copies among all documents: three-word shingles, a Jaccard similarity of 0.85."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -67,6 +75,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_windows": op1_chat_windows,
     "op2_minhash": op2_minhash,
     "op3_hyperdimensional": op3_hyperdimensional,
     "op5_compression": op5_compression,
