@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, chat, decontam, langid, linededup, neardup, pages, toxicity
+from fidelis.llm import bpe, chat, decontam, langid, linededup, neardup, pages, quality, toxicity
 from fidelis.llm.common import table
 
 
@@ -63,6 +63,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item, with the item and the best overlap."""
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_compression": op5_compression,
     "op6_site_templates": op6_site_templates,
     "op7_bpe": op7_bpe,
+    "op8_crf_quality": op8_crf_quality,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_line_templates": op10_line_templates,
 }
