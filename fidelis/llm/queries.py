@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import bpe, chat, decontam, langid, linededup, neardup, pages, quality, toxicity
+from fidelis.llm import bpe, chat, decontam, langid, licenses, linededup, neardup, pages, quality, toxicity
 from fidelis.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op3_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a license notice, with the license and the share of the notice that they hold."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels of those whose fold of five isn't 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_minhash": op2_minhash,
     "op3_hyperdimensional": op3_hyperdimensional,
+    "op4_license_bands": op4_license_bands,
     "op5_compression": op5_compression,
     "op6_site_templates": op6_site_templates,
     "op7_bpe": op7_bpe,
