@@ -31,6 +31,11 @@ def inflesz_band(score: Column) -> Column:
     return out
 
 
+def rounded(score: Column, places: int) -> Column:
+    """Rounded as binary floating point has it, not by decimal digits."""
+    return F.floor(score * 10**places + 0.5) / float(10**places)
+
+
 def measures(text: Column) -> dict[str, Column]:
     """Counts of a plain text: characters, letters, words, sentences, syllables."""
     runs = F.regexp_extract_all(text, F.lit(r"(?U)\b[^.!?]+[.!?]*"), F.lit(0))
@@ -57,13 +62,13 @@ def readability(df: DataFrame, text: str = "text", strip_md: bool = True) -> Dat
     score = lambda x: F.when(some, x).otherwise(0.0)
     df = df.withColumn("__sp", score(206.835 - 62.3 * (y / w) - w / s))
     return df.withColumns({
-        "avg_words_per_sentence": F.round(score(w / s), 2),
-        "avg_syllables_per_word": F.round(score(y / w), 3),
-        "fernandez_huerta": F.round(score(206.84 - 60 * (y / w) - 1.02 * (w / s)), 2),
-        "szigriszt_pazos": F.round("__sp", 2),
-        "gutierrez_polini": F.round(score(95.2 - 9.7 * (letters / w) - 0.35 * (w / s)), 2),
-        "crawford_school_years": F.round(score(-0.205 * (100 * s / w) + 0.049 * (100 * y / w) - 3.407), 2),
-        "flesch_kincaid_grade": F.round(score(0.39 * (w / s) + 11.8 * (y / w) - 15.59), 2),
+        "avg_words_per_sentence": rounded(score(w / s), 2),
+        "avg_syllables_per_word": rounded(score(y / w), 3),
+        "fernandez_huerta": rounded(score(206.84 - 60 * (y / w) - 1.02 * (w / s)), 2),
+        "szigriszt_pazos": rounded(F.col("__sp"), 2),
+        "gutierrez_polini": rounded(score(95.2 - 9.7 * (letters / w) - 0.35 * (w / s)), 2),
+        "crawford_school_years": rounded(score(-0.205 * (100 * s / w) + 0.049 * (100 * y / w) - 3.407), 2),
+        "flesch_kincaid_grade": rounded(score(0.39 * (w / s) + 11.8 * (y / w) - 15.59), 2),
         "inflesz_category": inflesz_band(F.col("__sp")),
         "meets_healthcare_target": F.col("__sp") >= TARGET,
     }).drop("__plain", "__sp", "n_letters")
