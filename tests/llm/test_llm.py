@@ -299,12 +299,14 @@ def test_line_templates(spark):
     rows = [
         (1, f"{passage}\nown line of the first one"), (2, f"{passage}\nown line of the second document here"), (3, "Page 1 of 9 in this book\nx y z"), (4, "Page 22 of 9 in this book"),
         (5, "user alpha logged in from the main desk today"), (6, "user bravo logged in from the main desk today\nrest"), (7, None), (8, ""), (None, passage), (9, "\n \n"),
+        (11, "the job x failed on host alpha with code red"), (12, "the job x failed on host bravo with code red"),
     ]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_lines int")
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(df).collect()}
     assert got[1] == (rows[0][1], 2, 0) and got[2] == ("own line of the second document here", 2, 1)
     assert got[3][2] == 0 and got[4] == ("", 1, 1) and got[None] == ("", 1, 1)
     assert got[7] == (None, 0, 0) and got[8] == ("", 0, 0) and got[9] == ("\n \n", 0, 0)
+    assert got[11][2] == 0 and got[12] == ("", 1, 1)  # one leaf, one token of nine differs
     assert got[5][2] == 0 and got[6][2] == 0  # they differ in a leading token, so they are in different leaves
     assert linededup.dedup_lines(df, min_docs=3).filter("doc_id = 4").first()["n_dropped"] == 0
     assert linededup.dedup_lines(df.limit(0)).count() == 0
