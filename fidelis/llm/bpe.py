@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words in a trie at once, encodings remembered in a worker, texts whose new words are gathered first.
-TRIE_WORDS, MEMO_WORDS, BATCH_TEXTS = 20_000, 700_000, 256
+TRIE_WORDS, MEMO_WORDS, BATCH_TEXTS = 10_000, 250_000, 128
 #: The split of byte-level BPE (public; the same for every vocabulary of this family).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -166,7 +166,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; the new words of these texts share their tries."""
-        if len(self.memo) > MEMO_WORDS or len(self.apart) > 4 * MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or len(self.apart) > 2 * MEMO_WORDS:
             self.memo.clear()
             self.apart.clear()
         cut, memo = [self.parts(t) for t in texts], self.memo
@@ -207,7 +207,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "t
         for batch in batches:
             yield pd.Series(_encoded(coder, batch.fillna("").tolist()), dtype=object)
 
-    return df.withColumn(ids, encoded(F.col(f"`{text}`")))
+    return df.withColumn(ids, encoded.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids", back: str = "decoded") -> DataFrame:
@@ -221,7 +221,7 @@ def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
             found = _encoded(coder, batch.fillna("").tolist())
             yield pd.DataFrame({"ids": found, "back": list(map(coder.decode, found))}, dtype=object)
 
-    coded = df.withColumn("__coded", both(F.col(f"`{text}`")))
+    coded = df.withColumn("__coded", both.asNondeterministic()(F.col(f"`{text}`")))
     return coded.withColumns({ids: F.col("__coded.ids"), back: F.col("__coded.back")}).drop("__coded")
 
 
@@ -235,4 +235,4 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", text: str
         for batch in batches:
             yield batch.map(lambda b: None if b is None else coder.decode(b)).astype(object)
 
-    return df.withColumn(text, decoded(F.col(f"`{ids}`")))
+    return df.withColumn(text, decoded.asNondeterministic()(F.col(f"`{ids}`")))

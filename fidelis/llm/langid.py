@@ -137,7 +137,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 out.append((names[best], float(1 / shares.sum()), float(kept[best] @ unit)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "similarity"])
 
-    found = docs.withColumn("__guess", guess(F.col(f"`{text}`")))
+    # Marked as not deterministic so that a filter on the result doesn't make Spark run it a second time.
+    found = docs.withColumn("__guess", guess.asNondeterministic()(F.col(f"`{text}`")))
     return found.withColumns({c: F.col(f"__guess.{c}") for c in ("lang_pred", "score", "similarity")}).drop("__guess")
 
 

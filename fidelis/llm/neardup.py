@@ -11,7 +11,7 @@
    spanning forest of its links, not all its pairs.
 4. *Components* of the links, and of the copies within the classes.
 
-``need`` is the largest count that a pair at the threshold misses with a probability below ``miss``: 18 of 32 at 0.85.
+``need`` is the largest count that a pair at the threshold misses with a probability below ``miss``: 17 of 32 at 0.85.
 """
 
 from __future__ import annotations

@@ -225,5 +225,5 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, broadcast_
             out.append("\n".join(b for r in roots(top) for b in blocks(r, gone)))
         return pd.Series(out, dtype=object)
 
-    out = joined.withColumn("text", main_text("html", "__template"))
+    out = joined.withColumn("text", main_text.asNondeterministic()("html", "__template"))
     return out.withColumn("n_chars", F.length("text").cast("long")).drop("__key", "__template")

@@ -189,7 +189,7 @@ def judge(docs: DataFrame, field: Field, min_share: float = 0.5, text: str = "te
                 out.append((*base_counts(t), len(sizes), int(content.sum()), int(sizes[content].sum())))
             yield pd.DataFrame(out, columns=names)
 
-    found = docs.withColumn("__c", counted(F.col(f"`{text}`")))
+    found = docs.withColumn("__c", counted.asNondeterministic()(F.col(f"`{text}`")))
     found = found.withColumns({c: F.col(f"__c.{c}") for c in [c.split(" ")[0] for c in COUNTS.split(", ")]}).drop("__c")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     words = F.col("content_words") / F.greatest(F.col("n_words"), F.lit(1))

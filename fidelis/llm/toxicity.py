@@ -176,5 +176,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pd.Series([own.score(t) for t in batch], dtype="float64")
 
-    found: Column = scored(F.col(f"`{text}`"))
+    found: Column = scored.asNondeterministic()(F.col(f"`{text}`"))
     return docs.withColumn("score", found).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
