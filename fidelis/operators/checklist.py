@@ -72,6 +72,22 @@ def checklist_summary(checks: DataFrame, *keys: str) -> DataFrame:
     })
 
 
+def with_summary(df: DataFrame, rules: list[Finding], text: str = "text") -> DataFrame:
+    """``df`` with the counters of ``checklist_summary``, counted within the row: nothing is exploded or grouped."""
+    df = df.withColumn("__c", F.array(*[_check(F.coalesce(F.col(text), F.lit("")), f, False) for f in rules]))
+    count = lambda test: F.size(F.filter("__c", test)).cast("long")
+    df = df.withColumns({
+        "n_findings": F.lit(len(rules)).cast("long"),
+        "n_mentioned": count(lambda c: c["mentioned"]),
+        "n_correct": count(lambda c: c["mentioned"] & c["severity_preserved"] & ~c["attenuation_detected"]),
+        "n_attenuated": count(lambda c: c["attenuation_detected"]),
+        "n_omitted": count(lambda c: ~c["mentioned"]),
+        "n_wrong_severity": count(lambda c: c["mentioned"] & ~c["severity_preserved"] & ~c["attenuation_detected"]),
+    }).drop("__c")
+    failed = (F.col("n_omitted") > 0) | (F.col("n_attenuated") > 0) | (F.col("n_wrong_severity") > 0)
+    return df.withColumns({"overall_pass": ~failed, "coverage_pct": 100.0 * F.col("n_mentioned") / max(len(rules), 1)})
+
+
 def finding_profile(checks: DataFrame) -> DataFrame:
     """The counters by finding over all reports."""
     return checklist_summary(checks, "finding")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fidelis.functions.readability import readability
 from fidelis.functions.text import strip_markdown_col
-from fidelis.operators.checklist import check_findings, checklist_summary
+from fidelis.operators.checklist import with_summary
 from fidelis.operators.entities import canonicals, entity_recall
 from fidelis.operators.sentences import entailment_report, sentence_verdicts
 from fidelis.rules import Finding, Term
@@ -31,18 +31,18 @@ class Thresholds:
 def measure_pairs(pairs: DataFrame, rules: list[Finding], lexicon: list[Term], score_threshold: float = 0.30, stop_words: list[str] = STOP_WORDS, gate_lexicon: list[Term] | None = None) -> DataFrame:
     """What the layers measure of ``pairs(pair_id, original_id, original_text, humanized_text)``, one narrow row a pair.
 
-    Each layer joins by ``pair_id`` with narrow rows; texts are not shuffled again. Null texts count as empty.
+    Layers 0 to 2 are worked out within the row; only the sentences of layer 3 are joined. Null texts count as empty.
     """
     plain = lambda c: strip_markdown_col(F.coalesce(F.col(c), F.lit("")))
     pairs = pairs.select("pair_id", "original_id", plain("original_text").alias("original_text"), plain("humanized_text").alias("humanized_text"))
-    checks = checklist_summary(check_findings(pairs, rules, "pair_id", "humanized_text"))
-    sides = pairs.select("pair_id", canonicals(F.col("original_text"), lexicon).alias("original_entities"), canonicals(F.col("humanized_text"), lexicon).alias("humanized_entities"))
-    recall = entity_recall(sides)
-    ease = readability(pairs.select("pair_id", F.col("humanized_text").alias("text")), strip_md=False).select("pair_id", "szigriszt_pazos", "inflesz_category", "meets_healthcare_target")
     support = entailment_report(sentence_verdicts(pairs, gate_lexicon or lexicon, score_threshold, stop_words), pairs)
-    out = checks.select("pair_id", "overall_pass", "n_findings", "n_mentioned", "n_correct", "n_attenuated", "n_omitted", "n_wrong_severity", "coverage_pct")
-    out = out.join(recall.select("pair_id", "recall", "omitted", "added"), "pair_id").join(support, "pair_id")
-    return out.join(ease, "pair_id")
+    rows = with_summary(pairs.withColumnRenamed("humanized_text", "text"), rules)
+    rows = rows.withColumns({"original_entities": canonicals(F.col("original_text"), lexicon), "humanized_entities": canonicals(F.col("text"), lexicon)})
+    rows = readability(entity_recall(rows).drop("original_text"), strip_md=False)
+    rows = rows.select(
+        "pair_id", "overall_pass", "n_findings", "n_mentioned", "n_correct", "n_attenuated", "n_omitted", "n_wrong_severity", "coverage_pct",
+        "recall", "omitted", "added", "szigriszt_pazos", "inflesz_category", "meets_healthcare_target")
+    return rows.join(support, "pair_id")
 
 
 def decide(measures: DataFrame, t: Thresholds = Thresholds(), contradictions: DataFrame | None = None, judge: DataFrame | None = None) -> DataFrame:
