@@ -135,14 +135,15 @@ def fit(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     return model
 
 
-_SCORERS: dict[bytes, Scorer] = {}
+_SCORERS: dict[tuple, Scorer] = {}
 
 
 def _scorer(model: Model) -> Scorer:
-    if model.toxic not in _SCORERS:
+    key = (model.ordinary, model.toxic, *model.weights)
+    if key not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[model.toxic] = Scorer(model)
-    return _SCORERS[model.toxic]
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 2_000) -> Model:
