@@ -6,9 +6,10 @@ a template, in which the tokens that differ become variable fields. A template f
 recurs: its lines stay in the document with the smallest id that has one, and are dropped from all others.
 
 Spark counts the lines by digest, so no text is shuffled for counting. Only leaves with several different lines send
-them to a task, each line once however often it occurs, sorted by leaf; a leaf too crowded for one task is parsed
-deeper, up to all tokens. Lines that are equal but for their digits share a template in any case. At last the numbers
-of the lines to drop go back to their documents.
+them to a task, each line once however often it occurs, sorted by leaf. A leaf of any size is compared whole: its lines
+pass through the task one by one, which holds the leaf's templates but not its lines, and finds the templates a line
+can match by an index. Lines that are equal but for their digits share a template in any case. At last the numbers of
+the lines to drop go back to their documents.
 """
 
 from __future__ import annotations
@@ -24,16 +25,16 @@ from pyspark.sql import functions as F
 
 from fidelis.llm.common import written
 
-#: Different lines in a leaf that a task compares; the depths at which fuller leaves are parsed again; rows of lines to
-#: compare up to which their digests are broadcast.
-LEAF_LINES, DEPTHS, BROADCAST_ROWS = 400, (3, 6, 12), 1_000_000
+#: Leading tokens that lines of a leaf share; templates in a leaf from which they are indexed; rows of lines to compare
+#: up to which their digests are broadcast.
+DEPTH, INDEXED, BROADCAST_ROWS = 3, 64, 1_000_000
 FIELD, FIELD_CODE = "<*>", np.uint64(0)
 DIGIT = re.compile(rb"[0-9]")
 SIGNED = 1 << 63
 
 
-def parse(line: str) -> tuple[list[str], int, int, list[int]] | None:
-    """Tokens (those with a digit as variable fields), the two halves of their digest, and the leaf at each depth."""
+def parse(line: str) -> tuple[list[bytes], int, int, int] | None:
+    """Tokens (those with a digit as variable fields), the two halves of their digest, and the leaf."""
     words = line.encode().split()
     if not words:
         return None
@@ -42,8 +43,8 @@ def parse(line: str) -> tuple[list[str], int, int, list[int]] | None:
     whole = xxhash.xxh3_128_intdigest(b" ".join(words))
     h1, h2, n = (whole >> 64) - SIGNED, (whole & (2 * SIGNED - 1)) - SIGNED, len(words)
     # A line no longer than the depth is alone in its leaf.
-    leaves = [xxhash.xxh3_64_intdigest(b"%d %d %s" % (n, d, b" ".join(words[:d]))) - SIGNED if n > d else h1 for d in DEPTHS]
-    return words, h1, h2, leaves
+    leaf = xxhash.xxh3_64_intdigest(b"%d %d %s" % (n, DEPTH, b" ".join(words[:DEPTH]))) - SIGNED if n > DEPTH else h1
+    return words, h1, h2, leaf
 
 
 def _doc() -> Column:
@@ -56,7 +57,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """The lines with a token: where they are, the digest of their tokens, and their leaves."""
+    """The lines with a token: where they are, the digest of their tokens, and their leaf."""
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,12 +65,11 @@ def _marks(docs: DataFrame) -> DataFrame:
             for unnamed, doc, row, text in batch[["unnamed", "id", "row", "text"]].itertuples(index=False):
                 for at, line in enumerate(text.split("\n")):
                     if found := parse(line):
-                        out.append((unnamed, doc, row, at, found[1], found[2], *found[3]))
-            yield pd.DataFrame(out, columns=["unnamed", "id", "row", "at", "h1", "h2", *[f"leaf{d}" for d in DEPTHS]])
+                        out.append((unnamed, doc, row, at, found[1], found[2], found[3]))
+            yield pd.DataFrame(out, columns=["unnamed", "id", "row", "at", "h1", "h2", "leaf"])
 
-    leaves = ", ".join(f"leaf{d} long" for d in DEPTHS)
-    found = _rows(docs).mapInPandas(marked, f"unnamed boolean, id long, row long, at int, h1 long, h2 long, {leaves}")
-    return found.select(F.struct("unnamed", "id").alias("doc"), "row", "at", "h1", "h2", *[f"leaf{d}" for d in DEPTHS])
+    found = _rows(docs).mapInPandas(marked, "unnamed boolean, id long, row long, at int, h1 long, h2 long, leaf long")
+    return found.select(F.struct("unnamed", "id").alias("doc"), "row", "at", "h1", "h2", "leaf")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -88,33 +88,84 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _leaves(digests: DataFrame) -> DataFrame:
-    """``(h1, h2, leaf)`` of different lines that share a leaf with others: the shallowest that isn't crowded."""
-    leaf, crowded = F.lit(None).cast("long"), F.lit(True)
-    for depth in DEPTHS:
-        sizes = digests.groupBy(f"leaf{depth}").agg(F.count("*").alias(f"size{depth}")).filter(f"size{depth} > 1")
-        digests = digests.join(sizes, f"leaf{depth}", "left")
-        size = F.coalesce(f"size{depth}", F.lit(1))
-        leaf = F.when(leaf.isNull() & crowded & (size > 1) & (size <= LEAF_LINES), F.col(f"leaf{depth}")).otherwise(leaf)
-        crowded = crowded & (size > LEAF_LINES)
-    return digests.select("h1", "h2", leaf.alias("leaf")).filter("leaf is not null")
+    """``(h1, h2, leaf)`` of different lines that share a leaf with others."""
+    shared = digests.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
+    return digests.join(shared, "leaf").select("h1", "h2", "leaf")
+
+
+class Templates:
+    """The templates of a leaf, whose lines have ``width`` tokens each, the first ``lead`` of them in common.
+
+    A line goes to the template that it has most tokens in common with, the oldest of several, or founds one. It may
+    differ from its template in ``misses`` tokens, so of any ``misses + 1`` groups of places it matches one whole. The
+    places are cut into groups in two ways, side by side and in turns; either way finds all templates that a line can
+    match, so each line takes the way that has fewer to compare.
+    """
+
+    def __init__(self, width: int, similarity: float, lead: int = 0) -> None:
+        self.misses = min(width, max(-1, int(width - np.ceil(width * (similarity - 1e-9)))))
+        self.count, self.rows, self.index = 0, np.empty((2, width), np.uint64), None
+        groups = max(1, self.misses + 1)
+        bounds = [lead + (width - lead) * g // groups for g in range(groups + 1)]
+        self.ways = [[slice(a, b) for a, b in zip(bounds, bounds[1:])], [slice(lead + g, None, groups) for g in range(groups)]]
+
+    def _keys(self, row: np.ndarray, way: int) -> list[int]:
+        return [xxhash.xxh3_64_intdigest(row[part].tobytes(), seed=2 * g + way) for g, part in enumerate(self.ways[way])]
+
+    def _post(self, at: int, before: np.ndarray | None = None) -> None:
+        for way in (0, 1):
+            known = set() if before is None else set(self._keys(before, way))
+            for key in set(self._keys(self.rows[at], way)) - known:
+                self.index.setdefault(key, []).append(at)
+
+    def _candidates(self, row: np.ndarray) -> np.ndarray | None:
+        """Places of the templates that the row can match, in order; None for all."""
+        if self.index is None:
+            return None
+        fewest, least = None, self.count
+        for way in (0, 1):
+            lists = [found for key in self._keys(row, way) if (found := self.index.get(key))]
+            if (size := sum(map(len, lists))) < least:
+                fewest, least = lists, size
+        return None if fewest is None else np.array(sorted(set().union(*fewest)), np.int64)
+
+    def place(self, words: list[str]) -> int:
+        """The number of the template that the line goes to; it is the count of those before where the line founds it."""
+        row = np.array([FIELD_CODE if w == FIELD else xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        near = self._candidates(row)
+        some = self.rows[: self.count] if near is None else self.rows[near]
+        if len(some):
+            same = (some == row).sum(axis=1)  # a variable field matches just itself
+            best = int(same.argmax())
+            if same[best] >= len(row) - self.misses:
+                best = best if near is None else int(near[best])
+                before = self.rows[best].copy()
+                self.rows[best][before != row] = FIELD_CODE
+                if self.index is not None and (self.rows[best] != before).any():
+                    self._post(best, before)
+                return best
+        if self.count == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+        self.rows[self.count] = row
+        self.count += 1
+        if self.index is not None:
+            self._post(self.count - 1)
+        elif self.count >= INDEXED:
+            self.index = {}
+            for at in range(self.count):
+                self._post(at)
+        return self.count - 1
 
 
 def generalise(lines: list[str], similarity: float) -> list[int]:
     """For each line of a leaf (all of as many tokens, in a fixed order) the place of the line that founded its template."""
-    rows = [line.split(" ") for line in lines]
-    known = np.array([[FIELD_CODE if w == FIELD else xxhash.xxh3_64_intdigest(w) for w in r] for r in rows], np.uint64)
-    templates, founders, out = np.empty_like(known), [], []
-    for at, row in enumerate(known):
-        some = templates[: len(founders)]
-        same = (some == row).mean(axis=1) if len(founders) else np.empty(0)  # a variable field matches just itself
-        best = int(same.argmax()) if len(same) else -1
-        if best >= 0 and same[best] >= similarity - 1e-9:
-            out.append(founders[best])
-            templates[best][templates[best] != row] = FIELD_CODE
-        else:
-            templates[len(founders)] = row
+    rows, founders, out = [line.split(" ") for line in lines], [], []
+    templates = Templates(len(rows[0]), similarity) if rows else None
+    for at, words in enumerate(rows):
+        found = templates.place(words)
+        if found == len(founders):
             founders.append(at)
-            out.append(at)
+        out.append(founders[found])
     return out
 
 
@@ -122,24 +173,19 @@ def _templates(leaves: DataFrame, similarity: float) -> DataFrame:
     """``(h1, h2, t1, t2)``: the lines whose template another line founded, with that line's digest."""
 
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaf, held = None, []
-
-        def done() -> list[tuple]:
-            places = generalise([line for _, _, line in held], similarity) if len(held) > 1 else []
-            return [(*held[i][:2], *held[p][:2]) for i, p in enumerate(places) if i != p]
-
-        def framed(moved: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(moved, columns=["h1", "h2", "t1", "t2"], dtype="int64")
-
+        leaf, templates, founders = None, None, []
         for batch in batches:
             out = []
             for found, h1, h2, line in batch.itertuples(index=False):
+                words = line.split(" ")
                 if found != leaf:
-                    out += done()
-                    leaf, held = found, []
-                held.append((h1, h2, line))
-            yield framed(out)
-        yield framed(done())
+                    leaf, templates, founders = found, Templates(len(words), similarity, DEPTH), []
+                at = templates.place(words)
+                if at == len(founders):
+                    founders.append((h1, h2))
+                else:
+                    out.append((h1, h2, *founders[at]))
+            yield pd.DataFrame(out, columns=["h1", "h2", "t1", "t2"], dtype="int64")
 
     dealt = leaves.select("leaf", "h1", "h2", "line").repartition("leaf").sortWithinPartitions("leaf", "h1", "h2")
     return dealt.mapInPandas(grouped, "h1 long, h2 long, t1 long, t2 long")
@@ -152,10 +198,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8) ->
     Lines are cut at ``\\n``; blank lines and null or empty texts are left as they are. A text all of whose lines are
     dropped becomes empty. Rows that repeat an id count as one document, so none of them loses a line for the others'
     sake; a row without an id counts as a document of its own text. Ties in ``doc_id`` cannot arise otherwise. Lines may
-    be of any length. An empty table gives an empty table.
+    be of any length, and a leaf may hold any number of them. An empty table gives an empty table.
     """
     marks = written(_marks(docs.select("doc_id", "text")), "lines")
-    digests = marks.groupBy("h1", "h2").agg(*[F.min(f"leaf{d}").alias(f"leaf{d}") for d in DEPTHS])
+    digests = marks.groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"))
     shared = written(_leaves(written(digests, "digests")), "leaves")
     small = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     compared = _lines(docs.select("doc_id", "text")).join(F.broadcast(shared) if small else shared, ["h1", "h2"])

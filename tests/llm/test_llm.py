@@ -317,6 +317,39 @@ def test_generalised_templates():
     assert linededup.generalise([a, b, c], 0.8) == [0, 0, 2]
 
 
+def test_crowded_leaves_are_compared_whole(spark):
+    words = [f"{a}{b}" for a in WORDS for b in WORDS[:13]]
+    rows = [(i, f"the job x failed on host {w}") for i, w in enumerate(words)]
+    rows += [(1_000 + i, f"the job x {w} was done {'well' if i % 2 else 'badly'} by all of us here") for i, w in enumerate(words)]
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(set(words)) > 600 and {i for i, n in got.items() if n == 0} == {0, 1_000}
+
+
+def brute_templates(lines, similarity):
+    templates, founders, out = [], [], []
+    for at, row in enumerate(line.split(" ") for line in lines):
+        same = [sum(a == b for a, b in zip(t, row)) / len(row) for t in templates]
+        best = max(range(len(same)), key=lambda i: (same[i], -i), default=-1)
+        if best >= 0 and same[best] >= similarity - 1e-9:
+            templates[best] = [a if a == b else "<*>" for a, b in zip(templates[best], row)]
+            out.append(founders[best])
+        else:
+            templates.append(row)
+            founders.append(at)
+            out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("width", [4, 5, 7, 10, 15, 23])
+def test_indexed_templates_match_brute_force(width):
+    for seed in range(3):
+        rng = random.Random(100 * width + seed)
+        bases = [[rng.choice([*WORDS[:12], "<*>"]) for _ in range(width)] for _ in range(60)]
+        lines = [" ".join(w if rng.random() < 0.85 else rng.choice([*WORDS, "<*>"]) for w in rng.choice(bases)) for _ in range(700)]
+        found = linededup.generalise(lines, 0.8)
+        assert found == brute_templates(lines, 0.8) and len(set(found)) > linededup.INDEXED // 2
+
+
 # ---- pipeline and registration
 
 
