@@ -4,9 +4,10 @@ A page becomes a tree of elements, read tolerantly: unclosed and stray tags, raw
 say what they are (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, by
 their element, role, or the words of their class and id) go at once. Every other container is hashed with all that
 is below it; Spark counts, per host, the pages with different main text that have each hash, and containers that recur
-on many pages of their host are the site's template: they are deleted from all its pages. What is left of the article
-(of the body, where no article is marked) is the text. Paragraphs, headings, list items and cells of a marked article
-are never counted: passages that an author repeats are content.
+on several pages of their host are the site's template: they are deleted from all its pages. What is left of the
+article (of the body, where no article is marked) is the text. Paragraphs, headings, list items and cells of a marked
+article are never counted: passages that an author repeats are content. Elsewhere they have to be on a share of the
+host's pages too, since short ones (a cell with a number) recur by chance on a few pages of any large host.
 """
 
 from __future__ import annotations
@@ -145,16 +146,16 @@ def sign(e: Element) -> int:
     return e.sign
 
 
-def containers(root: Element) -> set[int]:
-    """Hashes of the containers below a root that can be template: with text, and no content of a marked article."""
-    out, stack = set(), [x for x in root.below if isinstance(x, Element) and not x.gone]
+def containers(root: Element) -> tuple[set[int], set[int]]:
+    """Hashes of what can be template below a root, containers and passages: no content of a marked article."""
+    out, passages, stack = set(), set(), [x for x in root.below if isinstance(x, Element) and not x.gone]
     while stack:
         e = stack.pop()
         if e.kind in BLOCKS and not (root.root and e.kind in CONTENT):
-            out.add(e.sign)
+            (passages if e.kind in CONTENT else out).add(e.sign)
         if not (root.root and e.kind in CONTENT):
             stack += [x for x in e.below if isinstance(x, Element) and not x.gone]
-    return out
+    return out, passages
 
 
 def blocks(root: Element, template: frozenset[int] | set[int]) -> list[str]:
@@ -189,27 +190,34 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sign(top)
             own = roots(top)
             text = xxhash.xxh3_64_intdigest("\0".join(b for r in own for b in blocks(r, frozenset()))) - 2**63
-            rows.append((key, host, text, sorted(set().union(*[containers(r) for r in own]))))
-        yield pd.DataFrame(rows, columns=["key", "host", "page", "subtrees"])
+            below = [containers(r) for r in own]
+            rows.append((key, host, text, *[sorted(set().union(*found)) for found in zip(*below)]))
+        yield pd.DataFrame(rows, columns=["key", "host", "page", "subtrees", "passages"])
 
 
 def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, broadcast_rows: int = 200_000) -> DataFrame:
     """``pages`` (``url``, ``html`` and any others) with ``text``, the main text, and ``n_chars``, its code points.
 
-    A container is template if it is on ``min_pages`` pages of its host or more, and on ``share`` of them, counting
-    pages with the same main text once. Blocks are joined by a newline, white space inside a block is one space,
-    character references are decoded, nothing else is dropped. Null and empty html give an empty text; a page without
-    a host has no template but is read like any other. Rows repeat as in ``pages``; other columns stay, columns named
-    ``text`` or ``n_chars`` are replaced; an empty table gives an empty table.
+    A container is template if it is on ``min_pages`` pages of its host or more, counting pages with the same main text
+    once; a passage outside marked articles (an element of CONTENT) has to be on ``share`` of them as well. Blocks are
+    joined by a newline, white space inside a block is one space, character references are decoded, nothing else is
+    dropped. Null and empty html give an empty text; a page without a host has no template but is read like any other.
+    Rows repeat as in ``pages``; other columns stay, columns named ``text`` or ``n_chars`` are replaced; an empty table
+    gives an empty table.
     """
     keyed = pages.withColumn("__key", F.xxhash64("url", "html"))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     known = keyed.filter("url is not null and html is not null").select(F.col("__key").alias("key"), host.alias("host"), "html").filter("host <> ''")
-    seen = written(known.mapInPandas(_subtrees, "key long, host string, page long, subtrees array<long>"), "subtrees")
+    seen = written(known.mapInPandas(_subtrees, "key long, host string, page long, subtrees array<long>, passages array<long>"), "subtrees")
     sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    each = seen.select("host", "page", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    template = each.filter(F.col("n") >= min_pages).join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "subtree")
-    hits = seen.select("key", "host", F.explode("subtrees").alias("subtree")).join(template, ["host", "subtree"])
+    parts = [
+        F.transform("subtrees", lambda s: F.struct(s.alias("subtree"), F.lit(False).alias("passage"))),
+        F.transform("passages", lambda s: F.struct(s.alias("subtree"), F.lit(True).alias("passage"))),
+    ]
+    each = seen.select("host", "page", F.explode(F.concat(*parts)).alias("part")).select("host", "page", "part.*").distinct()
+    each = each.groupBy("host", "subtree", "passage").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    template = each.join(sizes, "host").filter(~F.col("passage") | (F.col("n") >= share * F.col("pages"))).select("host", "subtree")
+    hits = seen.select("key", "host", F.explode(F.concat("subtrees", "passages")).alias("subtree")).join(template, ["host", "subtree"])
     hits = written(hits.groupBy("key").agg(F.collect_set("subtree").alias("__template")), "template").withColumnRenamed("key", "__key")
     small = hits.limit(broadcast_rows + 1).count() <= broadcast_rows
     joined = keyed.join(F.broadcast(hits) if small else hits, "__key", "left")

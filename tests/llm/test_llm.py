@@ -200,6 +200,15 @@ def test_site_templates_go_and_content_stays(spark):
     assert pages.extract(df).count() == len(rows) and pages.extract(df.limit(0)).count() == 0
 
 
+def test_containers_on_few_pages_of_a_large_host_go(spark):
+    html = "<body><div>own words {0}</div>{1}<table><tr><td>cell</td><td>{0}</td></tr></table></body>"
+    extra = {**dict.fromkeys(range(6), "<div>Call us</div>"), **dict.fromkeys((10, 11), "<div>Both of us</div>"), **dict.fromkeys(range(12, 16), "<p>So it is.</p>")}
+    rows = [(i, f"https://a.example/{i}", html.format(f"n{i}", extra.get(i, ""))) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own words n{i}\nn{i}" for i in range(10))  # the block is on a tenth of the pages, the cell on all
+    assert got[10] == "own words n10\nBoth of us\nn10" and got[12] == "own words n12\nSo it is.\nn12"
+
+
 # ---- 7 tokens
 
 
