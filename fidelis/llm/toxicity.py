@@ -1,13 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on the segments that mark toxic text. The
-second is used behind a copy of the first, so what both kinds of text share costs the same and cancels out. A window
-of a few words is compressed with each; the bytes that the toxic dictionary saves are the window's distance. A
-document's largest distances, their sum and their number are weighed by a logistic regression, calibrated on labelled
-documents that the dictionaries haven't seen.
-
-Labels are learned from a bounded sample (``sample`` documents of each kind, those with the smallest digests of their
-ids); every whole text is scored, a window at a time.
+There are two zstandard dictionaries. The ordinary one is trained on the windows of ordinary text. Most words of a toxic
+text are ordinary too, so zstandard's trainer, given toxic windows, fills a dictionary with what both kinds share
+(figures in the README). The toxic one is therefore laid out from the parts of toxic words that mark them: segments that
+``LIFT`` times as large a share of toxic documents has, with a log likelihood of ``GAIN``. It lies behind a copy of the
+ordinary one, so what both kinds of text share costs the same and cancels out: a window of a few words is compressed
+with each, and the bytes that the toxic one saves are the window's distance.
+
+Two thresholds are calibrated on labelled documents that the dictionaries haven't seen: from which saving on a window
+counts (best F1), and from which sum of such savings on a document is toxic (best F0.5, which weighs precision more).
+
+Labels are learned from a bounded sample (``sample`` toxic documents and twice as many ordinary ones, those with the
+smallest digests of their ids), whole texts of it; every whole text is scored, a window at a time.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ from pyspark.sql import functions as F
 
 #: Words in a window and from one window to the next.
 WINDOW, STEP = 6, 3
-#: Letters in a marking segment; how much more often (by documents) toxic text has it; share of toxic texts that have it.
-SEGMENT, LIFT, SUPPORT = (5, 6, 7), 12.0, 0.02
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL, MIN_MATCH = 8_192, 1_024, 3, 5
+#: Letters in a marking segment; how much more often (by documents) toxic text has it, and the log likelihood of that.
+SEGMENT, LIFT, GAIN = (5, 6, 7), 4.0, 6.0
+#: Bytes of the dictionaries; compression level, shortest match, bits of the tables.
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL, MIN_MATCH, TABLE = 32_768, 1_024, 3, 5, 18
 
 
 def windows(text: str | None) -> Iterator[bytes]:
@@ -41,17 +46,22 @@ def segments(text: str) -> set[str]:
 
 
 def marks(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Segments that a share of toxic texts has, and ordinary texts seldom have."""
+    """Segments that toxic texts have more often than ordinary ones, by more than chance gives."""
     have, lack = Counter(), Counter()
     for texts, counts in ((toxic, have), (ordinary, lack)):
         for t in texts:
             counts.update(segments(t))
-    least = max(3.0, SUPPORT * len(toxic))
-    return {s for s, n in have.items() if n >= least and n * (len(ordinary) or 1) >= LIFT * (lack[s] + 1) * len(toxic)}
+    share = len(toxic) / max(1, len(toxic) + len(ordinary))
+    out = set()
+    for piece, n in have.items():
+        expected = (n + lack[piece] + 1) * share
+        if n * (len(ordinary) or 1) >= LIFT * (lack[piece] + 1) * len(toxic) and n * np.log(n / expected) - (n - expected) >= GAIN:
+            out.add(piece)
+    return out
 
 
-def marked(text: str, found: set[str]) -> bytes:
-    """The parts of a text that marking segments cover, one after another."""
+def marked(text: str, found: set[str]) -> list[bytes]:
+    """The parts of a text that marking segments cover."""
     out = []
     for word in text.lower().split():
         w = f" {word} "
@@ -61,77 +71,77 @@ def marked(text: str, found: set[str]) -> bytes:
                 if w[i : i + n] in found:
                     cover[i : i + n] = True
         if cover.any():
-            out.append("".join(c for c, yes in zip(w, cover) if yes))
-    return "".join(out).encode()
+            out.append("".join(c for c, yes in zip(w, cover) if yes).encode())
+    return out
 
 
-def dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary's bytes; where there are too few samples to train one, the samples themselves."""
+def trained(samples: list[bytes]) -> bytes:
+    """zstandard's dictionary for windows of ordinary text; empty where there is too little to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes() if samples else b""
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b""
+
+
+def laid_out(parts: list[bytes]) -> bytes:
+    """A dictionary of the distinct parts, the commonest last, where offsets are shortest."""
+    counts = sorted(Counter(parts).items(), key=lambda x: (x[1], x[0]))
+    return b"".join(p for p, n in counts if n > 1)[-TOXIC_BYTES:]
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    # The same tables for every dictionary, with room for all of it, so that lengths differ by the content alone.
+    how = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL, window_log=18, hash_log=TABLE, chain_log=TABLE, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    held = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
-    weights: list[float]
-    middle: list[float]
-    spread: list[float]
+    #: The saving from which on a window counts, the sum of such savings from which on a document is toxic.
+    window: int
+    document: int
 
 
 class Scorer:
     """A model in one worker."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.plain, self.both = model, self._with(model.ordinary), self._with(model.ordinary + model.toxic)
-
-    @staticmethod
-    def _with(content: bytes) -> zstandard.ZstdCompressor:
-        how = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, source_size=64, dict_size=len(content), min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False
-        )
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(compression_params=how)
-        return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
-
-    def features(self, text: str | None) -> list[float]:
+        self.model = model
+        self.plain, self.both = compressor(model.ordinary), compressor(model.ordinary + model.toxic)
+
+    def savings(self, text: str | None) -> list[int]:
         plain, both = self.plain.compress, self.both.compress
-        saved = np.array([len(plain(w)) - len(both(w)) for w in windows(text)] or [0], np.float64)
-        top = np.sort(saved)[::-1]
-        first = [*top[:4], *[0.0] * 4][:4]
-        return [*first, float((saved >= 3).sum() ** 0.5), float((saved >= 5).sum() ** 0.5), float(np.log1p(len(saved)))]
+        return [len(plain(w)) - len(both(w)) for w in windows(text)]
 
     def score(self, text: str | None) -> float:
-        m = self.model
-        x = (np.array(self.features(text)) - m.middle) / m.spread
-        return float(1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30))))
-
-
-def fit(toxic: list[str], ordinary: list[str], prior: float) -> Model:
-    """Dictionaries from half of the sample, the calibration from the other half; ``prior``: the share of toxic texts."""
-    a, b = toxic[::2], ordinary[::2]
-    found = marks(a, b)
-    plain = [w for t in b for w in list(windows(t))[::7]]
-    sure = [s for t in a if (s := marked(t, found))]
-    model = Model(dictionary(plain, ORDINARY_BYTES), dictionary(sure, TOXIC_BYTES), [], [], [])
+        evidence = sum(s for s in self.savings(text) if s >= self.model.window)
+        return evidence / (evidence + self.model.document)
+
+
+def fit(toxic: list[str], ordinary: list[str]) -> Model:
+    """Dictionaries from half of the sample, thresholds from the other half, where the kinds weigh as in the whole sample."""
+    found = marks(toxic[::2], ordinary[::2])
+    plain = trained([w for t in ordinary[::2] for w in windows(t)])
+    model = Model(plain, laid_out([p for t in toxic[::2] for p in marked(t, found)]), 1 << 20, 1)
     scorer = Scorer(model)
-    rows = [(scorer.features(t), y) for texts, y in ((toxic[1::2], 1.0), (ordinary[1::2], 0.0)) for t in texts]
-    x, y = np.array([r for r, _ in rows] or [[0.0] * 7]), np.array([y for _, y in rows] or [0.0])
-    model.middle, model.spread = x.mean(axis=0).tolist(), np.maximum(x.std(axis=0), 1e-6).tolist()
-    x = np.column_stack((np.ones(len(x)), (x - model.middle) / model.spread))
-    share = y.mean()
-    each = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
-    w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton's method with a small penalty
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (each * (p - y)) + w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    model.weights = w.tolist()
+    each = [(kind, scorer.savings(t)) for kind, texts in ((True, toxic[1::2]), (False, ordinary[1::2])) for t in texts]
+    kinds = np.array([kind for kind, _ in each], bool)
+
+    def fits(least: int, beta: float) -> list[tuple[float, int]]:
+        sums = np.array([sum(s for s in savings if s >= least) for _, savings in each], np.int64)
+        bounds = np.unique(sums[sums > 0]).tolist()
+        return [((1 + beta**2) * (kinds & (sums >= b)).sum() / ((sums >= b).sum() + beta**2 * kinds.sum()), b) for b in bounds]
+
+    windows_fit = [(max(f)[0], -least) for least in range(2, 9) if (f := fits(least, 1.0))]
+    if windows_fit and max(windows_fit)[0] > 0:
+        model.window = -max(windows_fit)[1]
+        model.document = max(fits(model.window, 0.5))[1]
     return model
 
 
@@ -139,34 +149,46 @@ _SCORERS: dict[tuple, Scorer] = {}
 
 
 def _scorer(model: Model) -> Scorer:
-    key = (model.ordinary, model.toxic, *model.weights)
+    key = (model.ordinary, model.toxic, model.window, model.document)
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(model)
     return _SCORERS[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2_000, sample_chars: int = 50_000_000) -> Model:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     At most ``sample`` toxic and twice as many ordinary documents, by the smallest digests of their ids, come to the
-    driver; the share of toxic labels is counted over all rows. Null ids, labels and texts are left out; an id that is
-    labelled more than once counts as toxic if one label says so. Without labels every text gets the same score.
+    driver, and no more of them than have ``sample_chars`` characters together (whole texts, in that order). Null ids,
+    labels and texts are left out; an id that is labelled more than once counts as toxic if one label says so. Without
+    toxic and ordinary labels every text scores 0.
     """
-    each = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in each.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("doc_id", F.lit("toxicity"))
-    ids = each.filter("toxic > 0").orderBy(order, "doc_id").limit(sample).unionAll(each.filter("toxic <= 0").orderBy(order, "doc_id").limit(2 * sample))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").collect()  # 3 * sample ids
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    prior = counts.get(True, 0) / max(1, sum(counts.values()))
-    return fit([r["text"] for r in rows if r["toxic"] > 0], [r["text"] for r in rows if r["toxic"] <= 0], prior)
+    each = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    rows = sampled(docs, each, "toxic", {True: sample, False: 2 * sample}, sample_chars)
+    return fit([t for kind, t in rows if kind], [t for kind, t in rows if not kind])
+
+
+def sampled(docs: DataFrame, each: DataFrame, kind: str, most: dict[bool, int], chars: int) -> list[tuple[bool, str]]:
+    """``(kind, text)`` of labelled documents ``each(doc_id, kind)``: at most so many of a kind, and so many characters."""
+    order = F.xxhash64("doc_id", F.lit(kind))
+    picked = [each.filter(F.col(kind) == yes).orderBy(order, "doc_id").limit(n) for yes, n in most.items()]
+    ids = picked[0].unionAll(picked[1])
+    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")  # ids: the sum of ``most``
+    sizes = sorted((order_, i, n) for i, order_, n in found.select("doc_id", order, F.length("text")).collect())
+    within, total = [], 0
+    for _, i, n in sizes:
+        if total + n <= chars:
+            within.append(i)
+            total += n
+    rows = found.filter(F.col("doc_id").isin(sorted(set(within)))).collect() if within else []
+    return [(r[kind], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1; higher: toxic is likelier) and ``predicted`` (1 from 0.5 on).
 
-    Whole texts are scored. Null, empty and blank texts have no windows and get the score of a text without savings.
+    Whole texts are scored. Null, empty and blank texts have no windows, so no evidence, and score 0.
     Rows repeat as they do in ``docs``, columns of these names are replaced, an empty table gives an empty table.
     """
     model = docs.sparkSession.sparkContext.broadcast(model)
