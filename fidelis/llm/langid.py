@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Dimensions, letters in an n-gram, n-gram vectors remembered in a worker (as bytes: 64 MB).
 DIMENSIONS, ORDER, REMEMBERED = 1024, 3, 65_536
+#: Languages whose prototypes are held in a worker (as doubles: 32 MB).
+MOST_LANGUAGES = 4_096
 #: A cosine margin between the first and the second language that gives a score of about 0.73.
 TEMPERATURE = 0.1
 
@@ -91,7 +93,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     """A prototype for each non-null ``lang``, from every row that has one and a text with letters.
 
     Only the sums come to the driver: ``DIMENSIONS`` numbers for each language. Each text counts by its direction, so a
-    very long one weighs no more than others.
+    very long one weighs no more than others. Null labels and texts, and texts without letters, are left out; repeated
+    rows count each time; an empty table, or one without labels, gives no prototypes. Other columns are ignored.
     """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,12 +103,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             for t, label in zip(batch["text"], batch["lang"]):
                 if (v := _space().vector(t)) is not None and (n := np.linalg.norm(v)):
                     total[label] = total.get(label, 0) + np.round(v.astype(np.float64) / n * 2**20).astype(np.int64)
-        yield pd.DataFrame({"lang": list(total), "sums": list(total.values())})
+        if total:  # a partition without a labelled row has nothing to say
+            yield pd.DataFrame({"lang": list(total), "sums": list(total.values())})
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
     partial = rows.mapInPandas(sums, "lang string, sums array<long>").select("lang", F.posexplode("sums"))
     summed = partial.groupBy("lang", "pos").agg(F.sum("col").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("v"))
-    return {r["lang"]: np.array([x["v"] for x in r["v"]], np.float64) for r in summed.select("lang", F.col("v")).collect()}
+    rows = summed.limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; their prototypes don't fit in a worker")
+    return {r["lang"]: np.array([x["v"] for x in r["v"]], np.float64) for r in rows}
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
