@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space. ``bytes.split()`` cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,9 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local session (one machine) gets a folder of its own; a cluster has to name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fidelis-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -30,3 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/fidelis-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sampled(docs: DataFrame, each: DataFrame, kind: str, most: dict[bool, int], chars: int) -> list[tuple[bool, str]]:
+    """``(kind, text)`` of labelled documents ``each(doc_id, kind)``: at most so many of a kind, and so many characters."""
+    order = F.xxhash64("doc_id", F.lit(kind))
+    picked = [each.filter(F.col(kind) == yes).orderBy(order, "doc_id").limit(n) for yes, n in most.items()]
+    ids = picked[0].unionAll(picked[1])
+    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")  # ids: the sum of ``most``
+    sizes = sorted((order_, i, n) for i, order_, n in found.select("doc_id", order, F.length("text")).collect())
+    within, total = [], 0
+    for _, i, n in sizes:
+        if total + n <= chars:
+            within.append(i)
+            total += n
+    rows = found.filter(F.col("doc_id").isin(sorted(set(within)))).collect() if within else []
+    return [(r[kind], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]

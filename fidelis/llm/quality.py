@@ -2,11 +2,14 @@
 
 A document is a chain of its lines. Each line has a few numbers (length, symbols, capitals, separators, repetition, line
 ends); a linear-chain CRF weighs them, and the labels of neighbouring lines, and Viterbi decoding marks each line as
-content or boilerplate. A document is kept if its base rules hold and ``min_share`` of its words are in content lines.
-
-The field is trained here, by its exact gradient (forward and backward sums), on the lines of a bounded sample of
-labelled documents: lines of good documents count as content, lines of bad ones as boilerplate. Decoding covers every
-line of every text; the counts of the base rules cover the whole text.
+content or boilerplate. A document is kept if its base rules hold and enough of its words are in content lines.
+
+The field is trained here on all lines of a bounded sample of labelled documents. Lines get weak labels of their own, as
+good documents hold some boilerplate and bad ones some content: a logistic regression of the document's label on the
+line's numbers says which lines look like those of good documents, and those count as content wherever they are; a bad
+document keeps its least such line as boilerplate. The field is fitted to these mixed chains by its exact gradient
+(forward and backward sums). The share of content from which on a document is kept is the one that divides the sample
+best. Decoding covers every line of every text; the counts of the base rules cover the whole text.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a document that training looks at.
-TRAIN_LINES = 60
+from fidelis.llm.common import sampled
+
+#: Lines in a piece of a chain: training cuts long chains into consecutive pieces, all of them used, to bound padding.
+PIECE = 64
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 MARKS = re.compile(r"[^\w\s]")
 FEATURES = 14
@@ -85,6 +90,8 @@ class Field:
     lines: np.ndarray
     pairs: np.ndarray
     first: np.ndarray
+    #: The share of words in content lines from which on a document is kept.
+    share: float = 0.5
 
 
 def viterbi(field: Field, features: np.ndarray) -> np.ndarray:
@@ -106,7 +113,7 @@ def viterbi(field: Field, features: np.ndarray) -> np.ndarray:
 
 
 def _gradient(field: Field, chains: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> Field:
-    """The mean gradient of the log likelihood over padded chains ``(documents, lines, features)``, each of one label."""
+    """The mean gradient of the log likelihood over padded chains ``(chains, lines, features)`` with a label for each line."""
     docs, most, _ = chains.shape
     score = np.zeros((docs, most, 2))
     score[:, :, 1] = chains @ field.lines
@@ -122,27 +129,50 @@ def _gradient(field: Field, chains: np.ndarray, lengths: np.ndarray, labels: np.
     total = np.logaddexp(*ahead[np.arange(docs), lengths - 1].T)
     inside = np.arange(most) < lengths[:, None]
     share = np.exp(ahead + behind - total[:, None, None]) * inside[:, :, None]
-    lines = ((labels[:, None] * inside - share[:, :, 1])[:, :, None] * chains).sum(axis=(0, 1))
+    lines = ((labels * inside - share[:, :, 1])[:, :, None] * chains).sum(axis=(0, 1))
     pairs = np.zeros((2, 2))
     both = inside[:, 1:]
     for i in (0, 1):
         for j in (0, 1):
             p = np.exp(ahead[:, :-1, i] + field.pairs[i, j] + score[:, 1:, j] + behind[:, 1:, j] - total[:, None])
-            pairs[i, j] = (both * ((labels[:, None] == i) * (i == j) - p)).sum()
-    first = np.array([(labels == i).sum() for i in (0, 1)]) - share[:, 0].sum(axis=0)
+            pairs[i, j] = (both * ((labels[:, :-1] == i) * (labels[:, 1:] == j) - p)).sum()
+    first = np.array([(labels[:, 0] == i).sum() for i in (0, 1)]) - share[:, 0].sum(axis=0)
     return Field(lines / docs, pairs / docs, first / docs)
 
 
+def line_labels(good: list[np.ndarray], bad: list[np.ndarray]) -> list[np.ndarray]:
+    """Weak labels of the lines of good and then of bad documents: 1 where a line looks like those of good documents."""
+    x = np.concatenate(good + bad)
+    y = np.concatenate([np.full(len(f), int(kind)) for kind, docs in ((True, good), (False, bad)) for f in docs])
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    w = np.zeros(FEATURES)
+    for _ in range(30):  # Newton's method with a small penalty
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(FEATURES), x.T @ (weight * (p - y)) + w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    out = []
+    for n, f in enumerate(good + bad):
+        labels = (f @ w >= 0).astype(np.int64)
+        if n >= len(good):
+            labels[int((f @ w).argmin())] = 0
+        out.append(labels)
+    return out
+
+
 def fit(good: list[str], bad: list[str], rounds: int = 150, penalty: float = 0.002) -> Field:
     """A field trained by ascent with a momentum and a penalty; both kinds weigh as they come."""
     field = Field(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2))
-    rows = [(f[:TRAIN_LINES], y) for texts, y in ((good, 1), (bad, 0)) for t in texts if len(f := line_features(t)[0])]
-    if not rows:
+    kinds = [[found for t in texts if len((found := line_features(t))[0])] for texts in (good, bad)]
+    if not any(kinds):
         return field
-    lengths, labels = np.array([len(f) for f, _ in rows]), np.array([y for _, y in rows])
-    chains = np.zeros((len(rows), int(lengths.max()), FEATURES))
-    for i, (f, _) in enumerate(rows):
-        chains[i, : len(f)] = f
+    labelled = line_labels([f for f, _ in kinds[0]], [f for f, _ in kinds[1]])
+    pieces = [(f[at : at + PIECE], y[at : at + PIECE]) for (f, _), y in zip(kinds[0] + kinds[1], labelled) for at in range(0, len(f), PIECE)]
+    lengths = np.array([len(y) for _, y in pieces])
+    chains, labels = np.zeros((len(pieces), int(lengths.max()), FEATURES)), np.full((len(pieces), int(lengths.max())), -1)
+    for i, (f, y) in enumerate(pieces):
+        chains[i, : len(f)], labels[i, : len(y)] = f, y
     push = Field(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2))
     for _ in range(rounds):
         slope = _gradient(field, chains, lengths, labels)
@@ -150,31 +180,41 @@ def fit(good: list[str], bad: list[str], rounds: int = 150, penalty: float = 0.0
             step = 0.9 * getattr(push, name) + 0.05 * (getattr(slope, name) - penalty * getattr(field, name))
             setattr(push, name, step)
             setattr(field, name, getattr(field, name) + step)
+    shares = [np.sort([sizes[viterbi(field, f) == 1].sum() / sizes.sum() for f, sizes in kind]) for kind in kinds]
+    field.share = dividing(*shares)
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 600) -> Field:
+def dividing(good: np.ndarray, bad: np.ndarray) -> float:
+    """The share that keeps most of the good and drops most of the bad documents; of equals the one nearest to a half."""
+    if not len(good) or not len(bad):
+        return 0.5
+    found = np.unique(np.concatenate((good, bad)))
+    bounds = [b for b in (found[:-1] + found[1:]) / 2 if 0.01 <= b <= 0.99] or [0.5]
+    return float(max(bounds, key=lambda b: (round((good >= b).mean() + (bad < b).mean(), 9), -abs(b - 0.5))))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 600, sample_chars: int = 20_000_000) -> Field:
     """A field from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``.
 
     At most ``sample`` bad documents and twice as many good ones, by the smallest digests of their ids, come to the
-    driver. Null ids, labels and texts are left out; an id labelled more than once counts as bad if one label says so.
+    driver, and no more of them than have ``sample_chars`` characters together (whole texts, in that order). Null ids,
+    labels and texts are left out; an id labelled more than once counts as bad if one label says so. Without labels
+    every line is content.
     """
-    each = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id", F.lit("quality"))
-    ids = each.filter("quality <= 0").orderBy(order, "doc_id").limit(sample).unionAll(each.filter("quality > 0").orderBy(order, "doc_id").limit(2 * sample))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").collect()  # 3 * sample ids
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows if r["quality"] > 0], [r["text"] for r in rows if r["quality"] <= 0])
+    each = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("quality"))
+    rows = sampled(docs, each, "quality", {False: sample, True: 2 * sample}, sample_chars)
+    return fit([t for kind, t in rows if kind], [t for kind, t in rows if not kind])
 
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_content_lines long, content_words long"
 
 
-def judge(docs: DataFrame, field: Field, min_share: float = 0.5, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, field: Field, min_share: float | None = None, text: str = "text") -> DataFrame:
     """``docs`` with the counts ``COUNTS``, ``base_failed``, ``content_share`` and ``kept``.
 
     ``base_failed``: under 50 words, or over half of the words in repeated three-word windows. ``kept``: not that, and
-    ``min_share`` of the words or more in content lines. Null, empty and blank texts have no words and fail. Columns of
+    ``min_share`` of the words (the field's ``share`` unless given) or more in content lines. Null, empty and blank texts have no words and fail. Columns of
     these names are replaced; rows repeat as they do in ``docs``; an empty table gives an empty table.
     """
 
@@ -194,4 +234,4 @@ def judge(docs: DataFrame, field: Field, min_share: float = 0.5, text: str = "te
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     words = F.col("content_words") / F.greatest(F.col("n_words"), F.lit(1))
     found = found.withColumn("base_failed", failed).withColumn("content_share", F.least(words, F.lit(1.0)))
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= min_share))
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= F.lit(float(field.share if min_share is None else min_share))))

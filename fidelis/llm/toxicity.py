@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.llm.common import sampled
+
 #: Words in a window and from one window to the next.
 WINDOW, STEP = 6, 3
 #: Letters in a marking segment; how much more often (by documents) toxic text has it, and the log likelihood of that.
@@ -169,22 +171,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2_000, sample_chars:
     return fit([t for kind, t in rows if kind], [t for kind, t in rows if not kind])
 
 
-def sampled(docs: DataFrame, each: DataFrame, kind: str, most: dict[bool, int], chars: int) -> list[tuple[bool, str]]:
-    """``(kind, text)`` of labelled documents ``each(doc_id, kind)``: at most so many of a kind, and so many characters."""
-    order = F.xxhash64("doc_id", F.lit(kind))
-    picked = [each.filter(F.col(kind) == yes).orderBy(order, "doc_id").limit(n) for yes, n in most.items()]
-    ids = picked[0].unionAll(picked[1])
-    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")  # ids: the sum of ``most``
-    sizes = sorted((order_, i, n) for i, order_, n in found.select("doc_id", order, F.length("text")).collect())
-    within, total = [], 0
-    for _, i, n in sizes:
-        if total + n <= chars:
-            within.append(i)
-            total += n
-    rows = found.filter(F.col("doc_id").isin(sorted(set(within)))).collect() if within else []
-    return [(r[kind], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
-
-
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1; higher: toxic is likelier) and ``predicted`` (1 from 0.5 on).
 
