@@ -1,13 +1,14 @@
 """Main text of web pages by removing site templates.
 
-A page becomes a tree of elements, read tolerantly: unclosed and stray tags, raw text elements, comments. Parts that
-say what they are (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, by
-their element, role, or the words of their class and id) go at once. Every other container is hashed with all that
-is below it; Spark counts, per host, the pages with different main text that have each hash, and containers that recur
-on several pages of their host are the site's template: they are deleted from all its pages. What is left of the
-article (of the body, where no article is marked) is the text. Paragraphs, headings, list items and cells of a marked
-article are never counted: passages that an author repeats are content. Elsewhere they have to be on a share of the
-host's pages too, since short ones (a cell with a number) recur by chance on a few pages of any large host.
+A page becomes a tree of elements, read tolerantly: unclosed and stray tags, raw text elements, comments. Every element
+is hashed with all that is below it, whatever it calls itself; Spark counts, per host, the pages with different main
+text that have each hash, and subtrees that recur on several pages of their host are the site's template: they are
+deleted from all its pages, inside articles and outside. Of the rest go the parts that say outright that they are
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments: by element, role, or a
+name in class or id; inside a marked article only a whole class name counts, so ``market-share`` is no share button.
+What is left of the article (of the body, where no article is marked) is the text. Paragraphs, headings, list items and
+cells of a marked article are never counted: passages that an author repeats are content. Elsewhere they have to be on a
+share of the host's pages too, since short ones (a cell with a number) recur by chance on a few pages of any large host.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ GONE = set(
     " embed audio video dialog menu head title noembed noframes map".split()
 )
 GONE_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Names of what the result leaves out. Anything that calls itself something else is left to recurrence.
 GONE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner"
-    " sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr"
-    " notice notices alert popup modal overlay newsletter subscribe subscription share sharing social comment comments"
-    " commentlist disqus reply replies respond related recommended widget widgets toolbar pagination pager login signup"
-    " masthead topbar".split()
+    "ad ads advert adverts advertisement advertising sponsored banner menu menus nav navbar navigation breadcrumb breadcrumbs"
+    " sidebar sidebars footer notice notices cookie cookies consent comment comments".split()
 )
+#: Raw text that has no part in a hash.
+NOISE = RAW - {"textarea", "xmp", "title"}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -63,7 +64,7 @@ def _says(kind: str, attributes: str, inside: bool) -> tuple[bool, bool]:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id") and kind not in ("body", "html", "main"):
-                words = {w.lower() for w in WORDS.findall(value)}
+                words = {w.lower() for w in (value.split() if inside else WORDS.findall(value))}
                 gone = gone or bool(words & GONE_WORDS) or ("header" in words and not inside and kind not in ("article", "section"))
             elif name == "role":
                 gone, root = gone or value.lower() in GONE_ROLES, root or value.lower() == "main"
@@ -105,6 +106,9 @@ def tree(source: str) -> Element:
             del stack[depth:]
         gone, root = _says(kind, found[3], inside > 0)
         element = Element(kind, gone, root)
+        if root:  # a form around the whole page is no form to leave out
+            for e in stack:
+                e.gone = e.gone and e.kind != "form"
         stack[-1].below.append(element)
         if kind in RAW:
             end = re.compile(rf"</{re.escape(kind)}[\s/>]", re.I).search(source, at)
@@ -117,20 +121,26 @@ def tree(source: str) -> Element:
     return top
 
 
-def roots(top: Element) -> list[Element]:
+def stays(e: Element, root: Element | None, template: frozenset[int] | set[int]) -> bool:
+    """Whether an element is neither template nor says that it is no content; ``root``: the marked article it is in."""
+    return not e.gone and (e.sign not in template or (root is not None and root.root and e.kind in CONTENT))
+
+
+def roots(top: Element, template: frozenset[int] | set[int] = frozenset()) -> list[Element]:
     """The outermost marked articles, those inside a main part before the part itself; else the page."""
-    found, queue = [], [top]
+    found, queue = [], [(top, None)]
     while queue:
-        e = queue.pop()
+        e, within = queue.pop()
         if e.root:
             found.append(e)
-        queue += [x for x in reversed(e.below) if isinstance(x, Element) and not x.gone and not (e.root and e.kind == "article")]
+            within = e
+        queue += [(x, within) for x in reversed(e.below) if isinstance(x, Element) and not (e.root and e.kind == "article") and stays(x, within, template)]
     inner = [e for e in found if e.kind != "main"]
     return inner or found or [top]
 
 
 def sign(e: Element) -> int:
-    """Hashes every subtree by its elements and text; what is gone anyway leaves no trace."""
+    """Hashes every subtree by its elements and text; scripts and styles leave no trace."""
     order, stack = [], [e]
     while stack:
         order.append(x := stack.pop())
@@ -140,21 +150,26 @@ def sign(e: Element) -> int:
         for y in x.below:
             if isinstance(y, str):
                 parts.append(" ".join(entities.unescape(y).split()))
-            elif not y.gone:
+            elif y.kind not in NOISE:
                 parts.append(str(y.sign))
         x.sign = xxhash.xxh3_64_intdigest("\0".join(p for p in parts if p)) - 2**63
     return e.sign
 
 
-def containers(root: Element) -> tuple[set[int], set[int]]:
-    """Hashes of what can be template below a root, containers and passages: no content of a marked article."""
-    out, passages, stack = set(), set(), [x for x in root.below if isinstance(x, Element) and not x.gone]
+def containers(top: Element) -> tuple[set[int], set[int]]:
+    """Hashes of what can be template on a page, containers and passages: all blocks but the content of marked articles.
+
+    What is below a part that names itself goes with it, so only the part is counted.
+    """
+    out, passages, stack = set(), set(), [(top, False)]
     while stack:
-        e = stack.pop()
-        if e.kind in BLOCKS and not (root.root and e.kind in CONTENT):
-            (passages if e.kind in CONTENT else out).add(e.sign)
-        if not (root.root and e.kind in CONTENT):
-            stack += [x for x in e.below if isinstance(x, Element) and not x.gone]
+        e, within = stack.pop()
+        within = within or (e.root and e.kind != "main")
+        content = e.kind in CONTENT
+        if e is not top and e.kind in BLOCKS and not (within and content):
+            (passages if content else out).add(e.sign)
+        if not e.gone and not (within and content):
+            stack += [(x, within) for x in e.below if isinstance(x, Element)]
     return out, passages
 
 
@@ -175,7 +190,7 @@ def blocks(root: Element, template: frozenset[int] | set[int]) -> list[str]:
             run.append(e)
         elif e.kind == "br":
             run.append(" ")
-        elif not (e.gone and e is not root) and (e is root or e.sign not in template or (root.root and e.kind in CONTENT)):
+        elif e is root or stays(e, root, template):
             block = e.kind in BLOCKS or e.kind == "#page"
             stack += [None] * block + e.below[::-1] + [None] * block
     flush()
@@ -188,17 +203,15 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, host, source in batch[["key", "host", "html"]].itertuples(index=False):
             top = tree(source)
             sign(top)
-            own = roots(top)
-            text = xxhash.xxh3_64_intdigest("\0".join(b for r in own for b in blocks(r, frozenset()))) - 2**63
-            below = [containers(r) for r in own]
-            rows.append((key, host, text, *[sorted(set().union(*found)) for found in zip(*below)]))
+            text = xxhash.xxh3_64_intdigest("\0".join(b for r in roots(top) for b in blocks(r, frozenset()))) - 2**63
+            rows.append((key, host, text, *map(sorted, containers(top))))
         yield pd.DataFrame(rows, columns=["key", "host", "page", "subtrees", "passages"])
 
 
 def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, broadcast_rows: int = 200_000) -> DataFrame:
     """``pages`` (``url``, ``html`` and any others) with ``text``, the main text, and ``n_chars``, its code points.
 
-    A container is template if it is on ``min_pages`` pages of its host or more, counting pages with the same main text
+    An element is template if it is on ``min_pages`` pages of its host or more, counting pages with the same main text
     once; a passage outside marked articles (an element of CONTENT) has to be on ``share`` of them as well. Blocks are
     joined by a newline, white space inside a block is one space, character references are decoded, nothing else is
     dropped. Null and empty html give an empty text; a page without a host has no template but is read like any other.
@@ -230,7 +243,7 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, broadcast_
             if template is not None and len(template):
                 sign(top)
             gone = frozenset(int(t) for t in template) if template is not None else frozenset()
-            out.append("\n".join(b for r in roots(top) for b in blocks(r, gone)))
+            out.append("\n".join(b for r in roots(top, gone) for b in blocks(r, gone)))
         return pd.Series(out, dtype=object)
 
     out = joined.withColumn("text", main_text.asNondeterministic()("html", "__template"))
