@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space. ``bytes.split()`` cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most keys that ``join_skewed`` broadcasts.
+HOT_KEYS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """``df`` to be broadcast if its rows (or the sum of ``weight`` over them) are counted to be ``most`` at most."""
+    size = df.limit(most + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def join_skewed(many: DataFrame, one: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``many`` joined (inner or left) with ``one``, whose keys are unique and never null, by way of a split.
+
+    ``one`` has a column ``n``, the rows of ``many`` with its key, which isn't returned. Keys with a thousandth of those
+    rows or more are hot; there are at most 1,000 of them, so their rows are broadcast, and no task gets a hot key's
+    rows. The others are joined as Spark sees fit. Both sides are read twice and should be written tables.
+    """
+    least = (one.agg(F.sum(n)).first()[0] or 0) / HOT_KEYS
+    hot = F.broadcast(one.filter(F.col(n) >= least).drop(n))
+    rest = many.join(F.broadcast(hot.select(*on)), on, "left_anti").join(one.filter(F.col(n) < least).drop(n), on, how)
+    return many.join(hot, on).unionByName(rest)
+
+
 def sampled(docs: DataFrame, each: DataFrame, kind: str, most: dict[bool, int], chars: int) -> list[tuple[bool, str]]:
     """``(kind, text)`` of labelled documents ``each(doc_id, kind)``: at most so many of a kind, and so many characters."""
     order = F.xxhash64("doc_id", F.lit(kind))

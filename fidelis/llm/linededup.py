@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import written
+from fidelis.llm.common import join_skewed, written
 
 #: Leading tokens that lines of a leaf share; templates in a leaf from which they are indexed; rows of lines to compare
 #: up to which their digests are broadcast.
@@ -34,12 +34,16 @@ SIGNED = 1 << 63
 
 
 def parse(line: str) -> tuple[list[bytes], int, int, int] | None:
-    """Tokens (those with a digit as variable fields), the two halves of their digest, and the leaf."""
+    """Tokens (those with a digit as variable fields), the two halves of their digest, and the leaf.
+
+    In a line of numbers only, they are no fields of anything: its tokens stay as they are.
+    """
     words = line.encode().split()
     if not words:
         return None
     if DIGIT.search(line.encode()):
-        words = [FIELD.encode() if DIGIT.search(w) else w for w in words]
+        fields = [FIELD.encode() if DIGIT.search(w) else w for w in words]
+        words = words if all(f == FIELD.encode() for f in fields) else fields
     whole = xxhash.xxh3_128_intdigest(b" ".join(words))
     h1, h2, n = (whole >> 64) - SIGNED, (whole & (2 * SIGNED - 1)) - SIGNED, len(words)
     # A line no longer than the depth is alone in its leaf.
@@ -69,7 +73,7 @@ def _marks(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["unnamed", "id", "row", "at", "h1", "h2", "leaf"])
 
     found = _rows(docs).mapInPandas(marked, "unnamed boolean, id long, row long, at int, h1 long, h2 long, leaf long")
-    return found.select(F.struct("unnamed", "id").alias("doc"), "row", "at", "h1", "h2", "leaf")
+    return found
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -191,6 +195,20 @@ def _templates(leaves: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInPandas(grouped, "h1 long, h2 long, t1 long, t2 long")
 
 
+def _recurring(found: DataFrame, min_docs: int) -> DataFrame:
+    """``(t1, t2, n, first_unnamed, first_id)`` of the templates in ``min_docs`` documents or more, with their first document."""
+    ids = {kind: F.when(F.col("unnamed") == unnamed, F.col("id")) for kind, unnamed in (("named", False), ("unnamed", True))}
+    ends = [end(c).alias(f"{name}_{kind}") for kind, c in ids.items() for name, end in (("low", F.min), ("high", F.max))]
+    each = found.groupBy("t1", "t2").agg(F.count("*").alias("n"), *ends)
+    if min_docs <= 2:
+        fit = "low_named < high_named or low_unnamed < high_unnamed or (low_named is not null and low_unnamed is not null)"
+        each = each.filter(fit if min_docs == 2 else F.lit(True))
+    else:
+        docs = found.select("t1", "t2", "unnamed", "id").distinct().groupBy("t1", "t2").agg(F.count("*").alias("docs"))
+        each = each.join(docs.filter(F.col("docs") >= min_docs).select("t1", "t2"), ["t1", "t2"])
+    return each.select("t1", "t2", "n", F.col("low_named").isNull().alias("first_unnamed"), F.coalesce("low_named", "low_unnamed").alias("first_id"))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8) -> DataFrame:
     """``docs`` with the text less the dropped lines, and the columns ``n_lines`` and ``n_dropped`` (lines with a token).
 
@@ -201,20 +219,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8) ->
     be of any length, and a leaf may hold any number of them. An empty table gives an empty table.
     """
     marks = written(_marks(docs.select("doc_id", "text")), "lines")
-    digests = marks.groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"))
-    shared = written(_leaves(written(digests, "digests")), "leaves")
+    digests = written(marks.groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.count("*").alias("n")), "digests")
+    shared = written(_leaves(digests), "leaves")
     small = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     compared = _lines(docs.select("doc_id", "text")).join(F.broadcast(shared) if small else shared, ["h1", "h2"])
     moved = written(_templates(compared.dropDuplicates(["leaf", "h1", "h2"]), similarity), "templates")
-    found = marks.select("doc", "row", "at", "h1", "h2").join(moved, ["h1", "h2"], "left")
-    found = found.select("doc", "row", "at", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
-    if min_docs <= 2:
-        recurring = found.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
-    else:
-        each = found.select("t1", "t2", "doc").distinct()
-        recurring = each.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_docs).drop("n")
-    drop = found.join(recurring, ["t1", "t2"]).filter("doc <> first").groupBy("doc", "row").agg(F.collect_set("at").alias("__gone"))
-    drop = drop.select(F.col("doc.unnamed").alias("__unnamed"), F.col("doc.id").alias("__id"), F.col("row").alias("__row"), "__gone")
+    moved = written(moved.join(digests.select("h1", "h2", "n"), ["h1", "h2"]), "moved")
+    found = join_skewed(marks.drop("leaf"), moved, ["h1", "h2"], "n", "left")
+    found = written(found.select("unnamed", "id", "row", "at", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2")), "found")
+    recurring = written(_recurring(found, min_docs), "recurring")
+    drop = join_skewed(found, recurring, ["t1", "t2"], "n").filter("unnamed <> first_unnamed or id <> first_id")
+    drop = drop.groupBy("unnamed", "id", "row").agg(F.collect_set("at").alias("__gone"))
+    drop = drop.select(F.col("unnamed").alias("__unnamed"), F.col("id").alias("__id"), F.col("row").alias("__row"), "__gone")
     keyed = docs.withColumns({"__unnamed": _doc()["unnamed"], "__id": _doc()["id"], "__row": F.xxhash64("text")})
     joined = keyed.join(drop, ["__unnamed", "__id", "__row"], "left")
     cut = F.split("text", "\n")

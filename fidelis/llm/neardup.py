@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import written
+from fidelis.llm.common import bounded, join_skewed, written
 from fidelis.llm.components import components
 
-#: Classes and bytes of sets in a block.
-BLOCK_ROWS, BLOCK_BYTES = 1_000, 8_000_000
+#: Classes and bytes of sets in a block; meetings up to which the classes' texts aren't shuffled to fetch them.
+BLOCK_ROWS, BLOCK_BYTES, BROADCAST_MEETS = 1_000, 8_000_000, 500_000
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -182,14 +182,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     docs = docs.select("doc_id", "text")
     signed = written(_signed(docs, size, coordinates), "signatures")
     named = signed.filter("doc_id is not null and digest is not null")
-    sets = named.groupBy("digest").agg(F.min("doc_id").alias("class"))
-    classes = named.join(sets, "digest").filter("doc_id = class").dropDuplicates(["doc_id", "digest"])
+    sets = written(named.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")), "sets")
+    classes = named.join(sets.select("digest", F.col("class").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"])
     classes = written(classes.select("doc_id", "n_shingles", "posts"), "classes")
     groups = written(_grouped(classes, coordinates, need), "groups")
-    meets = _meetings(groups, classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")))
-    links = _linked(docs.join(meets, "doc_id"), size, coordinates, need, percent)
-    copies = named.join(sets, "digest").filter("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-    found = components(links.unionAll(copies))
-    out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    meets = written(_meetings(groups, classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))), "meets")
+    links = _linked(docs.join(bounded(meets, BROADCAST_MEETS, F.size("meets")), "doc_id"), size, coordinates, need, percent)
+    # A document is where its class is, so copies don't take part in the components, but for ids with several texts.
+    members = written(join_skewed(named.select("doc_id", "digest"), sets, ["digest"], "n").select("doc_id", "class").distinct(), "members")
+    several = members.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
+    across = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
+    found = written(components(links.unionAll(across)).withColumnRenamed("node", "class").join(sizes, "class"), "found")
+    placed = join_skewed(members, found, ["class"], "n", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "class")).alias("component"))
+    out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -105,16 +105,17 @@ NOTICES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, ts in
 GRAMS = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
 
 #: Queries that SQL can express: license notices by their shingles; benchmark passages by every alignment that shares
-#: three tokens in a row, which a stretch of 16 tokens with 13 equal ones does.
+#: three tokens in a row, which a stretch of 6 to 16 tokens with a fifth replaced does (two of 5, all of fewer).
 ORACLE_SQL: dict[str, str] = {
     "op4_license_bands": f"""WITH t AS (SELECT license, {GRAMS} AS g FROM (SELECT license, {TOKENS.format('text')} AS w FROM (VALUES {NOTICES}) v(license, text))),
  d AS (SELECT doc_id, {GRAMS} AS g FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents) WHERE len(w) >= 3),
  m AS (SELECT doc_id, license, len(list_intersect(t.g, d.g)) / len(t.g) AS c FROM d, t)
  SELECT doc_id, license, round(max(c), 4) AS containment FROM m WHERE c >= 0.8 - 1e-9 GROUP BY doc_id, license""",
     "op9_spaced_seeds": f"""WITH d AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents), i AS (SELECT item_id, {TOKENS.format('text')} AS w FROM benchmark),
- dg AS (SELECT doc_id, w, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
- ig AS (SELECT item_id, w, q, w[q] || ' ' || w[q + 1] || ' ' || w[q + 2] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS q FROM i WHERE len(w) >= 6)),
- a AS (SELECT DISTINCT doc_id, item_id, dg.w AS dw, ig.w AS iw, p - q AS o FROM dg JOIN ig USING (g)),
+ k AS (SELECT item_id, w, CASE WHEN len(w) > 5 THEN 3 WHEN len(w) = 5 THEN 2 ELSE len(w) END AS k FROM i WHERE len(w) > 0),
+ dg AS (SELECT doc_id, w, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM k))),
+ ig AS (SELECT item_id, w, q, k, array_to_string(w[q:q + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS q FROM k)),
+ a AS (SELECT DISTINCT doc_id, item_id, dg.w AS dw, ig.w AS iw, p - q AS o FROM dg JOIN ig USING (k, g)),
  s AS (SELECT *, unnest(range(1, len(iw) - least(16, len(iw)) + 2)) AS s FROM a),
  c AS (SELECT doc_id, item_id, least(16, len(iw)) AS compared, o + s - 1 AS doc_at,
   len(list_filter(range(s, s + least(16, len(iw))), lambda k: k + o >= 1 AND coalesce(dw[k + o] = iw[k], false))) AS matched FROM s)
