@@ -46,13 +46,16 @@ def bounded(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame
     return F.broadcast(df) if size <= most else df
 
 
-def join_skewed(many: DataFrame, one: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+def join_skewed(many: DataFrame, one: DataFrame, on: list[str], n: str, how: str = "inner", broadcast_rows: int = 0) -> DataFrame:
     """``many`` joined (inner or left) with ``one``, whose keys are unique and never null, by way of a split.
 
     ``one`` has a column ``n``, the rows of ``many`` with its key, which isn't returned. Keys with a thousandth of those
     rows or more are hot; there are at most 1,000 of them, so their rows are broadcast, and no task gets a hot key's
-    rows. The others are joined as Spark sees fit. Both sides are read twice and should be written tables.
+    rows. The others are joined as Spark sees fit. Both sides are read twice and should be written tables. If ``one`` is
+    counted to have ``broadcast_rows`` rows at most, all of it is broadcast.
     """
+    if one.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return many.join(F.broadcast(one.drop(n)), on, how)
     least = (one.agg(F.sum(n)).first()[0] or 0) / HOT_KEYS
     hot = F.broadcast(one.filter(F.col(n) >= least).drop(n))
     rest = many.join(F.broadcast(hot.select(*on)), on, "left_anti").join(one.filter(F.col(n) < least).drop(n), on, how)

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from fidelis.llm.common import join_skewed, written
 
-#: Leading tokens that lines of a leaf share; templates in a leaf from which they are indexed; rows of lines to compare
-#: up to which their digests are broadcast.
-DEPTH, INDEXED, BROADCAST_ROWS = 3, 64, 1_000_000
+#: Leading tokens that lines of a leaf share; templates in a leaf from which they are indexed; rows of digests of lines
+#: to compare, of lines with another line's template, and of recurring templates up to which these are broadcast.
+DEPTH, INDEXED, BROADCAST_ROWS = 3, 64, 300_000
 FIELD, FIELD_CODE = "<*>", np.uint64(0)
 DIGIT = re.compile(rb"[0-9]")
 SIGNED = 1 << 63
@@ -225,10 +225,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8) ->
     compared = _lines(docs.select("doc_id", "text")).join(F.broadcast(shared) if small else shared, ["h1", "h2"])
     moved = written(_templates(compared.dropDuplicates(["leaf", "h1", "h2"]), similarity), "templates")
     moved = written(moved.join(digests.select("h1", "h2", "n"), ["h1", "h2"]), "moved")
-    found = join_skewed(marks.drop("leaf"), moved, ["h1", "h2"], "n", "left")
-    found = written(found.select("unnamed", "id", "row", "at", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2")), "found")
+    found = join_skewed(marks.drop("leaf"), moved, ["h1", "h2"], "n", "left", BROADCAST_ROWS)
+    found = found.select("unnamed", "id", "row", "at", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
     recurring = written(_recurring(found, min_docs), "recurring")
-    drop = join_skewed(found, recurring, ["t1", "t2"], "n").filter("unnamed <> first_unnamed or id <> first_id")
+    drop = join_skewed(found, recurring, ["t1", "t2"], "n", broadcast_rows=BROADCAST_ROWS).filter("unnamed <> first_unnamed or id <> first_id")
     drop = drop.groupBy("unnamed", "id", "row").agg(F.collect_set("at").alias("__gone"))
     drop = drop.select(F.col("unnamed").alias("__unnamed"), F.col("id").alias("__id"), F.col("row").alias("__row"), "__gone")
     keyed = docs.withColumns({"__unnamed": _doc()["unnamed"], "__id": _doc()["id"], "__row": F.xxhash64("text")})
