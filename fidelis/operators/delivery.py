@@ -25,9 +25,11 @@ def audit_trail(*events: DataFrame) -> DataFrame:
 
 
 # What the fields may hold.
+LANGUAGES, TONES, LEVELS = ["es", "es-AST", "en"], ["formal_usted", "informal_tu"], ["primario", "ESO", "bachillerato"]
 ENUMS = {
     "sex": ["M", "F", "O"], "modality": ["MR", "CT", "CR", "US", "MG"], "report_type": ["ORIGINAL", "HUMANIZED", "AMENDMENT"],
     "decision": ["APPROVE", "REVIEW", "REJECT"],
+    "target_language": LANGUAGES, "tone": TONES, "reading_level": LEVELS,
 }
 
 

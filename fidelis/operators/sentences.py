@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,23 +53,66 @@ def best_premise(scores: DataFrame) -> DataFrame:
     return scores.groupBy("pair_id", "pos").agg(best).select("pair_id", "pos", F.col("best.score").alias("score"), (-F.col("best.back")).alias("prem_pos"))
 
 
-def sentence_verdicts(pairs: DataFrame, lexicon: list[Term] | None, threshold: float = 0.4, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+def sentence_scores(pairs: DataFrame, lexicon: list[Term] | None, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """``(pair_id, original_id, pos, skip_reason, score, prem_pos)`` of every sentence of each rewrite, without texts.
+
+    Every original is cut into words once, however many rewrites it has. Skipped sentences and those that share no word
+    pass through the same join and aggregate as the others (score 0, no ``prem_pos``), so nothing is joined back.
+    """
+    gated = sentence_gate(sentence_words(pairs, "humanized_text", "pair_id", "original_id", stop_words=stop_words), lexicon)
+    words = F.when(F.col("skip_reason").isNull(), F.col("words"))
+    h = gated.select("pair_id", "original_id", "pos", "skip_reason", F.size("words").alias("n"), F.explode_outer(words).alias("word"))
+    once = pairs.groupBy("original_id").agg(F.first("original_text").alias("original_text"))
+    p = sentence_words(once, "original_text", "original_id", stop_words=stop_words)
+    p = p.select("original_id", F.col("pos").alias("prem_pos"), F.explode("words").alias("word"))
+    met = h.join(p, ["original_id", "word"], "left").groupBy("pair_id", "original_id", "pos", "skip_reason", "n", "prem_pos").agg(F.count("prem_pos").alias("both"))
+    # The best of the source sentences, the first of equals; a long is packed from the count and the place.
+    key = F.max(F.when(F.col("both") > 0, F.shiftleft(F.col("both"), 32) - F.col("prem_pos"))).alias("best")
+    best = met.groupBy("pair_id", "original_id", "pos", "skip_reason", "n").agg(key)
+    both = F.shiftright(F.col("best") + 0xFFFFFFFF, 32)
+    score = F.when(F.col("skip_reason").isNotNull(), 1.0).otherwise(F.coalesce(both / F.col("n"), F.lit(0.0)))
+    return best.select("pair_id", "original_id", "pos", "skip_reason", score.alias("score"), (F.shiftleft(both, 32) - F.col("best")).cast("int").alias("prem_pos"))
+
+
+def sentence_verdicts(pairs: DataFrame, lexicon: list[Term] | None, threshold: float = 0.4, stop_words: list[str] = STOP_WORDS, texts: bool = True) -> DataFrame:
     """A row for each sentence of each rewrite: skipped, or supported by a source sentence or not.
 
-    ``pairs(pair_id, original_id, original_text, humanized_text)``. Every original is cut into words once, however many
-    rewrites it has. A skipped sentence counts as entailed with a score of 1; one that shares no word has 0.
+    ``pairs(pair_id, original_id, original_text, humanized_text)``. A skipped sentence counts as entailed with a score of
+    1; one that shares no word has 0. The sentence and its best source sentence are fetched if ``texts`` are asked for.
     """
-    hyp = sentence_words(pairs, "humanized_text", "pair_id", "original_id", stop_words=stop_words)
-    gated = sentence_gate(hyp, lexicon)
-    prem = sentence_words(pairs.dropDuplicates(["original_id"]), "original_text", "original_id", stop_words=stop_words)
-    best = best_premise(overlap_scores(gated.filter("skip_reason is null"), prem))
-    named = best.join(gated.select("pair_id", "pos", "original_id"), ["pair_id", "pos"]).join(
-        prem.select("original_id", F.col("pos").alias("prem_pos"), F.col("sentence").alias("best_premise")), ["original_id", "prem_pos"])
-    out = gated.join(named.select("pair_id", "pos", "score", "best_premise"), ["pair_id", "pos"], "left")
+    scores = sentence_scores(pairs, lexicon, stop_words)
     assessed = F.col("skip_reason").isNull()
-    score = F.when(assessed, F.coalesce("score", F.lit(0.0))).otherwise(1.0)
-    return out.select("pair_id", "pos", "sentence", "skip_reason", assessed.alias("assessed"), score.alias("score"),
-                      F.coalesce("best_premise", F.lit("")).alias("best_premise"), (~assessed | (score >= threshold)).alias("entailed"))
+    out = scores.withColumns({"assessed": assessed, "entailed": ~assessed | (F.col("score") >= threshold)})
+    if not texts:
+        return out.drop("original_id")
+    hyp = pairs.select("pair_id", F.posexplode(sentences(F.col("humanized_text"))).alias("pos", "sentence"))
+    prem = pairs.groupBy("original_id").agg(F.first("original_text").alias("t")).select("original_id", F.posexplode(sentences(F.col("t"))).alias("prem_pos", "best_premise"))
+    out = out.join(hyp, ["pair_id", "pos"]).join(prem, ["original_id", "prem_pos"], "left")
+    return out.select("pair_id", "pos", "sentence", "skip_reason", "assessed", "score", F.coalesce("best_premise", F.lit("")).alias("best_premise"), "entailed")
+
+
+def with_support(df: DataFrame, lexicon: list[Term] | None, threshold: float = 0.30, stop_words: list[str] = STOP_WORDS, original: str = "original_text", rewrite: str = "humanized_text") -> DataFrame:
+    """``df`` with the counts of ``entailment_report``, worked out within the row: nothing is exploded or joined.
+
+    For reports of up to some hundred sentences this is cheaper than the join of words, as no word leaves its row; the
+    work grows with the product of both sides' sentences, so take ``sentence_scores`` for much longer ones.
+    """
+    cut = lambda c: F.transform(sentences(F.coalesce(F.col(c), F.lit(""))), lambda s: F.struct(s.alias("s"), content_words(s, stop_words).alias("w")))
+    clinical = lambda s: F.lit(True) if lexicon is None else mentions_any(s, lexicon)
+
+    def score(h: Column, source: Column) -> Column:
+        best = F.array_max(F.transform(source, lambda p: F.size(F.array_intersect(h["w"], p["w"]))))
+        return F.when((F.size(h["w"]) >= 4) & clinical(h["s"]), F.coalesce(best, F.lit(0)) / F.size(h["w"]))
+
+    # Arrays of one hold the source's sentences and the scores, so that a lambda sees them as worked out already.
+    scored = F.flatten(F.transform(F.array(cut(original)), lambda source: F.transform(cut(rewrite), lambda h: score(h, source))))
+    count = lambda x, test: F.size(F.filter(x, test)).cast("long")
+    counts = F.transform(F.array(scored), lambda x: F.struct(
+        F.size(x).cast("long").alias("n_sentences"), count(x, lambda s: s.isNotNull()).alias("n_assessed"),
+        count(x, lambda s: s >= threshold).alias("n_entailed"), count(x, lambda s: s < threshold).alias("n_unsupported")))
+    df = df.withColumn("__n", F.element_at(counts, 1))
+    df = df.withColumns({c: F.col(f"__n.{c}") for c in ("n_sentences", "n_assessed", "n_entailed", "n_unsupported")}).drop("__n")
+    return df.withColumn("entailment_rate", F.when(F.col("n_assessed") == 0, 1.0).otherwise(F.col("n_entailed") / F.col("n_assessed")))
 
 
 def entailment_report(verdicts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -101,10 +147,18 @@ def contradiction_candidates(hyp: DataFrame, prem: DataFrame, anchors: list[Term
     return met, alone
 
 
-def score_with(candidates: DataFrame, scores: DataFrame) -> DataFrame:
-    """Candidates with a model's ``contradiction`` from a table ``(pair_id, hyp_pos, prem_pos, contradiction)``; 0 if it has none."""
-    known = scores.select("pair_id", F.col("hyp_pos").alias("pos"), "prem_pos", "contradiction")
-    return candidates.join(known, ["pair_id", "pos", "prem_pos"], "left").withColumn("contradiction", F.coalesce("contradiction", F.lit(0.0)))
+def score_with(candidates: DataFrame, scores: DataFrame | Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
+    """Candidates with a model's ``contradiction``.
+
+    ``scores`` is a table ``(pair_id, hyp_pos, prem_pos, contradiction)``, where 0 stands for what it lacks, or a scorer:
+    a function of a batch of premises and one of hypotheses, which sees every different couple of sentences once.
+    """
+    if isinstance(scores, DataFrame):
+        known = scores.select("pair_id", F.col("hyp_pos").alias("pos"), "prem_pos", "contradiction")
+        return candidates.join(known, ["pair_id", "pos", "prem_pos"], "left").withColumn("contradiction", F.coalesce("contradiction", F.lit(0.0)))
+    scorer = F.pandas_udf(scores, "double").asNondeterministic()
+    couples = candidates.select("premise", "sentence").distinct()
+    return candidates.join(couples.withColumn("contradiction", scorer("premise", "sentence")), ["premise", "sentence"])
 
 
 def worst_premise(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

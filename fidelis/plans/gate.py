@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions.readability import readability
 from fidelis.functions.text import strip_markdown_col
 from fidelis.operators.checklist import with_summary
 from fidelis.operators.entities import canonicals, entity_recall
-from fidelis.operators.sentences import entailment_report, sentence_verdicts
+from fidelis.operators.sentences import with_support
 from fidelis.rules import Finding, Term
 from fidelis.rules.knee import STOP_WORDS
 
@@ -29,20 +29,20 @@ class Thresholds:
 
 
 def measure_pairs(pairs: DataFrame, rules: list[Finding], lexicon: list[Term], score_threshold: float = 0.30, stop_words: list[str] = STOP_WORDS, gate_lexicon: list[Term] | None = None) -> DataFrame:
-    """What the layers measure of ``pairs(pair_id, original_id, original_text, humanized_text)``, one narrow row a pair.
+    """What the layers measure of ``pairs(pair_id, original_text, humanized_text)``, one narrow row a pair.
 
-    Layers 0 to 2 are worked out within the row; only the sentences of layer 3 are joined. Null texts count as empty.
+    All layers are worked out within the row: ``pairs`` is read once and nothing is shuffled. Null texts count as empty.
     """
     plain = lambda c: strip_markdown_col(F.coalesce(F.col(c), F.lit("")))
-    pairs = pairs.select("pair_id", "original_id", plain("original_text").alias("original_text"), plain("humanized_text").alias("humanized_text"))
-    support = entailment_report(sentence_verdicts(pairs, gate_lexicon or lexicon, score_threshold, stop_words), pairs)
-    rows = with_summary(pairs.withColumnRenamed("humanized_text", "text"), rules)
+    rows = pairs.select("pair_id", plain("original_text").alias("original_text"), plain("humanized_text").alias("text"))
+    rows = with_support(rows, gate_lexicon or lexicon, score_threshold, stop_words, rewrite="text")
+    rows = with_summary(rows, rules)
     rows = rows.withColumns({"original_entities": canonicals(F.col("original_text"), lexicon), "humanized_entities": canonicals(F.col("text"), lexicon)})
     rows = readability(entity_recall(rows).drop("original_text"), strip_md=False)
-    rows = rows.select(
+    return rows.select(
         "pair_id", "overall_pass", "n_findings", "n_mentioned", "n_correct", "n_attenuated", "n_omitted", "n_wrong_severity", "coverage_pct",
-        "recall", "omitted", "added", "szigriszt_pazos", "inflesz_category", "meets_healthcare_target")
-    return rows.join(support, "pair_id")
+        "recall", "omitted", "added", "szigriszt_pazos", "inflesz_category", "meets_healthcare_target",
+        "n_sentences", "n_assessed", "n_entailed", "n_unsupported", "entailment_rate")
 
 
 def decide(measures: DataFrame, t: Thresholds = Thresholds(), contradictions: DataFrame | None = None, judge: DataFrame | None = None) -> DataFrame:
@@ -78,19 +78,23 @@ def evaluate_pairs(pairs: DataFrame, rules: list[Finding], lexicon: list[Term],
         F.col("szigriszt_pazos").alias("inflesz_score"), "inflesz_category", summary.alias("summary"))
 
 
+def accepted(require_approve: bool = False) -> Column:
+    """Whether a verdict lets the rewrite through."""
+    return F.col("decision").isin(["APPROVE"] if require_approve else ["APPROVE", "REVIEW"])
+
+
 def route(verdicts: DataFrame, require_approve: bool = False) -> tuple[DataFrame, DataFrame]:
     """Accepted and blocked verdicts; REVIEW is accepted unless approval is required."""
-    fit = F.col("decision").isin(["APPROVE"] if require_approve else ["APPROVE", "REVIEW"])
+    fit = accepted(require_approve)
     return verdicts.filter(fit), verdicts.filter(~fit)
 
 
 def sweep_thresholds(measures: DataFrame, profiles: dict[str, Thresholds]) -> DataFrame:
-    """The same measures decided under each named profile, measured once."""
-    out = None
-    for name, t in profiles.items():
-        one = decide(measures, t).withColumn("profile", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The same measures decided under each named profile: a row's measures are copied per profile, so measured once."""
+    named = [F.struct(F.lit(name).alias("profile"), *[F.lit(v).alias(k) for k, v in asdict(t).items()]) for name, t in profiles.items()]
+    each = measures.withColumn("__t", F.explode(F.array(*named)))
+    out = decide(each, Thresholds(**{f.name: F.col(f"__t.{f.name}") for f in fields(Thresholds)}))
+    return out.withColumn("profile", F.col("__t.profile")).drop("__t")
 
 
 def compare_backends(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -113,8 +117,15 @@ def expected_vs_actual(results: DataFrame, expected: DataFrame) -> DataFrame:
     return results.join(expected, "pair_id").withColumn("ok", ok)
 
 
+def expectations_met(checked: DataFrame) -> DataFrame:
+    """One row for the whole of ``expected_vs_actual``: how many pairs, how many as expected, and whether all are."""
+    out = checked.agg(F.count("*").alias("n_pairs"), F.count_if("ok").alias("n_ok"))
+    return out.withColumn("overall_ok", F.col("n_pairs") == F.col("n_ok"))
+
+
 def decision_report(verdicts: DataFrame, *groups: str) -> DataFrame:
     """Decisions, pass counts and mean measures over all pairs and by group."""
     return verdicts.rollup(*groups, "decision").agg(
         F.count("*").alias("n"), F.count_if("checklist_passed").alias("n_checklist"), F.count_if("ner_passed").alias("n_ner"), F.count_if("nli_passed").alias("n_nli"),
-        F.round(F.avg("ner_recall_global"), 4).alias("mean_recall"), F.round(F.avg("nli_entailment_rate"), 4).alias("mean_rate"))
+        F.round(F.avg("ner_recall_global"), 4).alias("mean_recall"), F.round(F.avg("nli_entailment_rate"), 4).alias("mean_rate"),
+        F.round(F.avg("inflesz_score"), 2).alias("mean_inflesz"))

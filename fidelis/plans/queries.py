@@ -47,7 +47,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "conversations")
+    return adjacent(_t(spark, sf_dir, "conversations"))
+
+
+def adjacent(c: DataFrame) -> DataFrame:
+    """Each turn with the one after it."""
     a = c.select("conv_id", "turn", F.col("text").alias("original_text"))
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("humanized_text"))
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -79,12 +83,10 @@ def b4_normalize_surface(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select("item_id", s.alias("surface"))
 
 
-def b5_corpus_card(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("chars"), F.sum(n_words(F.coalesce("text", F.lit("")))).alias("words"))
-
-
-READ = ["n_words", "n_sentences", "n_syllables", "szigriszt_pazos", "fernandez_huerta", "flesch_kincaid_grade", "inflesz_category", "meets_healthcare_target"]
+READ = [
+    "n_chars_no_space", "n_words", "n_sentences", "n_syllables", "avg_words_per_sentence", "avg_syllables_per_word", "szigriszt_pazos", "fernandez_huerta",
+    "crawford_school_years", "flesch_kincaid_grade", "inflesz_category", "meets_healthcare_target",
+]
 
 
 def c1_readability(spark, sf_dir):
@@ -97,7 +99,7 @@ def c3_compare_readability(spark, sf_dir):
     one = lambda c, s: p.select(F.concat("pair_id", F.lit(s)).alias("report_id"), F.col(c).alias("text"))
     scores = readability(one("original_text", "o").unionAll(one("humanized_text", "h")), strip_md=False)
     named = p.select("pair_id", F.concat("pair_id", F.lit("o")).alias("original_id"), F.concat("pair_id", F.lit("h")).alias("humanized_id"))
-    return compare_readability(scores, named).select("pair_id", "delta_inflesz", "delta_fkgl_grades", "original_meets_target", "humanized_meets_target")
+    return compare_readability(scores, named).select("pair_id", "delta_inflesz", "delta_fernandez_huerta", "delta_crawford_years", "delta_fkgl_grades", "delta_avg_wps", "delta_avg_spw", "original_meets_target", "humanized_meets_target")
 
 
 def d1_check_findings(spark, sf_dir):
@@ -123,7 +125,7 @@ def d9_key_terms(spark, sf_dir):
 def e1_mentions(spark, sf_dir):
     simple = [Term("tion", "HALLAZGO", ["tion"]), Term("the", "ANATOMIA", ["the"])]
     m = entities.extract_entities(_t(spark, sf_dir, "documents"), simple, "doc_id")
-    return m.groupBy("canonical", "entity_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return m.groupBy("canonical", "entity_type", "surface").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
 
 def e4_entity_recall(spark, sf_dir):
@@ -145,12 +147,12 @@ def e5_recall_by_type(spark, sf_dir):
 
 def f4_entailment_report(spark, sf_dir):
     p = pairs(spark, sf_dir)
-    r = sentences.entailment_report(sentences.sentence_verdicts(p, LEXICON, 0.10), p)
+    r = sentences.entailment_report(sentences.sentence_verdicts(p, LEXICON, 0.10, texts=False), p)
     return r.select("pair_id", "n_sentences", "n_assessed", "n_entailed", "n_unsupported", F.round("entailment_rate", 4).alias("entailment_rate"))
 
 
 def f3_sentence_scores(spark, sf_dir):
-    v = sentences.sentence_verdicts(pairs(spark, sf_dir), LEXICON, 0.10)
+    v = sentences.sentence_verdicts(pairs(spark, sf_dir), LEXICON, 0.10, texts=False)
     return v.groupBy("pair_id").agg(F.round(F.sum("score"), 4).alias("total"), F.count_if(F.col("skip_reason") == sentences.SHORT).alias("n_short"), F.count_if(F.col("skip_reason") == sentences.PLAIN).alias("n_plain"))
 
 
@@ -228,7 +230,7 @@ def i3_constraints(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        b1_strip_markdown, b2_sentences, b3_content_words, b4_normalize_surface, b5_corpus_card, c1_readability, c3_compare_readability, d1_check_findings,
+        b1_strip_markdown, b2_sentences, b3_content_words, b4_normalize_surface, c1_readability, c3_compare_readability, d1_check_findings,
         d5_checklist_summary, d8_finding_profile, d9_key_terms, e1_mentions, e4_entity_recall, e5_recall_by_type, f3_sentence_scores, f4_entailment_report,
         f6_contradictions, g4_judge_report, h1_gate, h3_route, h4_sweep, h6_expected, a3_manifest, i1_delivery, i3_constraints,
     )
@@ -302,6 +304,7 @@ MEASURED = (
 )
 SP = "(CASE WHEN w > 0 THEN 206.835 - 62.3 * (y::DOUBLE / w) - w::DOUBLE / s ELSE 0 END)"
 FK = "(CASE WHEN w > 0 THEN 0.39 * (w::DOUBLE / s) + 11.8 * (y::DOUBLE / w) - 15.59 ELSE 0 END)"
+ROUNDED = "floor((CASE WHEN w > 0 THEN {0} ELSE 0 END) * {1} + 0.5) / {1}.0"
 BAND = "CASE " + " ".join(f"WHEN {SP} < {b} THEN {Q(label)}" for b, label in BANDS) + f" ELSE {Q(EASIEST)} END"
 
 
@@ -313,19 +316,28 @@ def _markdown() -> str:
 
 
 STATUS = checklist.STATUS
+EASE = ("delta_inflesz", "delta_fernandez_huerta")
+SCORES = {
+    "delta_inflesz": f"floor({SP} * 100 + 0.5) / 100.0", "delta_fernandez_huerta": ROUNDED.format("206.84 - 60 * (y::DOUBLE / w) - 1.02 * (w::DOUBLE / s)", 100),
+    "delta_crawford_years": ROUNDED.format("-0.205 * (100 * s::DOUBLE / w) + 0.049 * (100 * y::DOUBLE / w) - 3.407", 100), "delta_fkgl_grades": f"floor({FK} * 100 + 0.5) / 100.0",
+    "delta_avg_wps": ROUNDED.format("w::DOUBLE / s", 100), "delta_avg_spw": ROUNDED.format("y::DOUBLE / w", 1000),
+}
 ORACLE_SQL: dict[str, str] = {
     "b1_strip_markdown": f"SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, {_markdown()} AS s FROM documents)",
     "b2_sentences": f"SELECT doc_id, count(*) AS n_sentences, sum(length(trim(s)))::BIGINT AS n_chars, max(trim(s)) AS last_sorted FROM (SELECT doc_id, unnest({SENTS.format('text')}) AS s FROM documents) GROUP BY doc_id",
     "b3_content_words": f"SELECT conv_id, turn, len(w) AS n, array_to_string(list_sort(w), ' ') AS words FROM (SELECT conv_id, turn, {WORDS.format('text')} AS w FROM conversations)",
     "b4_normalize_surface": "SELECT item_id, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')) AS surface FROM benchmark",
-    "b5_corpus_card": f"SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS chars, sum({NWORDS.format('text')})::BIGINT AS words FROM documents GROUP BY lang",
-    "c1_readability": f"SELECT doc_id, w AS n_words, s AS n_sentences, y AS n_syllables, floor({SP} * 100 + 0.5) / 100.0 AS szigriszt_pazos, floor((CASE WHEN w > 0 THEN 206.84 - 60 * (y::DOUBLE / w) - 1.02 * (w::DOUBLE / s) ELSE 0 END) * 100 + 0.5) / 100.0 AS fernandez_huerta, floor({FK} * 100 + 0.5) / 100.0 AS flesch_kincaid_grade, {BAND} AS inflesz_category, {SP} >= 55 AS meets_healthcare_target FROM ({MEASURED} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
-    "c3_compare_readability": f"WITH {PAIRS}, sc AS (SELECT pair_id, k, {SP} AS sp, {FK} AS fk FROM ({MEASURED} FROM (SELECT pair_id, 'o' AS k, o AS t FROM pairs UNION ALL SELECT pair_id, 'h', h FROM pairs))) SELECT a.pair_id, round(floor(b.sp * 100 + 0.5) / 100.0 - floor(a.sp * 100 + 0.5) / 100.0, 2) AS delta_inflesz, round(floor(a.fk * 100 + 0.5) / 100.0 - floor(b.fk * 100 + 0.5) / 100.0, 2) AS delta_fkgl_grades, a.sp >= 55 AS original_meets_target, b.sp >= 55 AS humanized_meets_target FROM sc a JOIN sc b ON a.pair_id = b.pair_id AND a.k = 'o' AND b.k = 'h'",
+    "c1_readability": f"SELECT doc_id, length(regexp_replace(t, '\\s+', '', 'g')) AS n_chars_no_space, {ROUNDED.format('w::DOUBLE / s', 100)} AS avg_words_per_sentence, {ROUNDED.format('y::DOUBLE / w', 1000)} AS avg_syllables_per_word, {ROUNDED.format('-0.205 * (100 * s::DOUBLE / w) + 0.049 * (100 * y::DOUBLE / w) - 3.407', 100)} AS crawford_school_years, w AS n_words, s AS n_sentences, y AS n_syllables, floor({SP} * 100 + 0.5) / 100.0 AS szigriszt_pazos, floor((CASE WHEN w > 0 THEN 206.84 - 60 * (y::DOUBLE / w) - 1.02 * (w::DOUBLE / s) ELSE 0 END) * 100 + 0.5) / 100.0 AS fernandez_huerta, floor({FK} * 100 + 0.5) / 100.0 AS flesch_kincaid_grade, {BAND} AS inflesz_category, {SP} >= 55 AS meets_healthcare_target FROM ({MEASURED} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
+    "c3_compare_readability": f"WITH {PAIRS}, sc AS (SELECT pair_id, k, {SP} AS sp, {', '.join(f'{x} AS {n}' for n, x in SCORES.items())} FROM ({MEASURED} FROM (SELECT pair_id, 'o' AS k, o AS t FROM pairs UNION ALL SELECT pair_id, 'h', h FROM pairs))) SELECT a.pair_id, "
+    + ", ".join(f"round({'b' if n in EASE else 'a'}.{n} - {'a' if n in EASE else 'b'}.{n}, {3 if n.endswith('spw') else 2}) AS {n}" for n in SCORES)
+    + ", a.sp >= 55 AS original_meets_target, b.sp >= 55 AS humanized_meets_target FROM sc a JOIN sc b ON a.pair_id = b.pair_id AND a.k = 'o' AND b.k = 'h'",
     "d1_check_findings": f"WITH {_checks()} SELECT pair_id, finding, m AS mentioned, p AS severity_preserved, a AS attenuation_detected, CASE WHEN a THEN {Q(STATUS['attenuated'])} WHEN NOT m THEN {Q(STATUS['omitted'])} WHEN NOT p THEN {Q(STATUS['wrong_severity'])} ELSE {Q(STATUS['ok'])} END AS status FROM checks",
     "d5_checklist_summary": f"WITH {_checks()} SELECT *, n_omitted = 0 AND n_attenuated = 0 AND n_wrong_severity = 0 AS overall_pass FROM (SELECT pair_id, {COUNTS} FROM checks GROUP BY pair_id)",
     "d8_finding_profile": f"WITH {_checks()} SELECT finding, {COUNTS} FROM checks GROUP BY finding",
     "d9_key_terms": f"WITH {PAIRS}, k AS (SELECT pair_id, h, list_filter([{', '.join(map(Q, TERMS))}], lambda x: contains(lower(o), lower(x))) AS t FROM pairs) SELECT pair_id, array_to_string(list_filter(t, lambda x: contains(lower(h), lower(x))), ',') AS present, array_to_string(list_filter(t, lambda x: NOT contains(lower(h), lower(x))), ',') AS missing FROM k",
-    "e1_mentions": " UNION ALL ".join(f"SELECT {Q(c)} AS canonical, {Q(e)} AS entity_type, sum(n)::BIGINT AS n, count(*) FILTER (n > 0) AS n_docs FROM (SELECT len(regexp_extract_all(text, {Q('(?i)' + c)})) AS n FROM documents)" for c, e in (("tion", "HALLAZGO"), ("the", "ANATOMIA"))),
+    "e1_mentions": "SELECT canonical, entity_type, surface, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(a)::BIGINT AS starts, sum(a + length(canonical))::BIGINT AS ends FROM (" + " UNION ALL ".join(
+        f"SELECT doc_id, {Q(c)} AS canonical, {Q(e)} AS entity_type, found[i] AS surface, list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * {len(c)} AS a FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i"
+        f" FROM (SELECT doc_id, regexp_extract_all(text, {Q('(?i)' + c)}) AS found, string_split_regex(text, {Q('(?i)' + c)}) AS parts FROM documents))" for c, e in (("tion", "HALLAZGO"), ("the", "ANATOMIA"))) + ") GROUP BY ALL",
     "e4_entity_recall": f"WITH {PAIRS}, {RECALL_CTE} SELECT pair_id, round(recall, 4) AS recall, array_to_string(list_sort(list_filter(oe, lambda x: list_contains(he, x))), ',') AS preserved, array_to_string(list_sort(list_filter(oe, lambda x: NOT list_contains(he, x))), ',') AS omitted, array_to_string(list_sort(list_filter(he, lambda x: NOT list_contains(oe, x))), ',') AS added FROM rec",
     "e5_recall_by_type": f"WITH {PAIRS}, kinds(c, entity_type) AS (VALUES {', '.join(f'({Q(t.canonical)}, {Q(t.entity_type)})' for t in LEXICON)}), {RECALL_CTE}, x AS (SELECT pair_id, c, list_contains(oe, c) AS o, list_contains(he, c) AS h, entity_type FROM rec, kinds WHERE list_contains(oe, c) OR list_contains(he, c)) SELECT pair_id, entity_type, count(*) FILTER (o) AS n_original, count(*) FILTER (h) AS n_humanized, count(*) FILTER (o AND h) AS n_preserved, round(CASE WHEN count(*) FILTER (o) = 0 THEN 1.0 ELSE count(*) FILTER (o AND h) / count(*) FILTER (o) END, 4) AS recall, coalesce(string_agg(c, ',' ORDER BY c) FILTER (o AND NOT h), '') AS omitted FROM x GROUP BY ALL",
     "f3_sentence_scores": f"WITH {VERDICT_CTE} SELECT pair_id, round(sum(score), 4) AS total, count(*) FILTER (r = 'short') AS n_short, count(*) FILTER (r = 'plain') AS n_plain FROM v GROUP BY pair_id",

@@ -168,13 +168,14 @@ SYNONYMS: dict[str, list[str]] = {
 }
 
 # Spanish stop words, without accents.
-STOP_WORDS: list[str] = (
-    "el la los las un una unos unas lo de del en a al con por para como hacia desde hasta sobre entre durante mediante"
-    " segun ante tras bajo y e o u pero aunque sino porque pues que si cuando donde mientras tambien ademas cuyo cuya se"
-    " le les mi tu te me nos os su sus es son soy eres fue fueron ser sera siendo sido esta estan estoy estar estaba"
-    " estado ha han he has habia habra hay haber muy mas menos tan tanto mucho poco todo cada otro mismo alguno ya aun asi"
-    " incluso luego entonces"
-).split()
+STOP_WORDS: list[str] = [
+    "el", "la", "los", "las", "un", "una", "unos", "unas", "lo", "de", "del", "en", "a", "al", "con", "por", "para", "como", "hacia", "desde",
+    "hasta", "sobre", "entre", "durante", "mediante", "segun", "ante", "tras", "bajo", "y", "e", "o", "u", "pero", "aunque", "sino", "porque", "pues",
+    "que", "si", "cuando", "donde", "mientras", "tambien", "ademas", "cuyo", "cuya", "se", "le", "les", "mi", "tu", "te", "me", "nos", "os", "su",
+    "sus", "es", "son", "soy", "eres", "fue", "fueron", "ser", "sera", "siendo", "sido", "esta", "estan", "estoy", "estar", "estaba", "estado", "ha",
+    "han", "he", "has", "habia", "habra", "hay", "haber", "muy", "mas", "menos", "tan", "tanto", "mucho", "poco", "todo", "cada", "otro", "mismo",
+    "alguno", "ya", "aun", "asi", "incluso", "luego", "entonces",
+]
 
 # Abbreviations that do not end a sentence.
 ABBREVIATIONS: list[str] = ["dr.", "dra.", "sr.", "sra.", "etc.", "p.ej.", "vs."]

@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files as reports; the role comes from the file name."""
-    rows = spark.read.text(path, wholetext=True).withColumnRenamed("value", "text").withColumn("filename", F.col("_metadata.file_name"))
-    role = F.when(F.col("filename").rlike("original"), "ORIGINAL").otherwise("HUMANIZED")
-    return rows.select(F.regexp_replace("filename", r"\.[^.]*$", "").alias("report_id"), role.alias("report_type"), "filename", "text")
+REPORT = ["report_id", "study_id", "report_type", "filename", "size_bytes", "text", "uploaded_at"]
+
+
+def role(filename: Column) -> Column:
+    """The role of a report by its file's name: a rewrite, unless it says otherwise."""
+    return F.when(filename.rlike("(?i)original"), "ORIGINAL").when(filename.rlike("(?i)amendment|adenda"), "AMENDMENT").otherwise("HUMANIZED")
+
+
+def read_reports(spark: SparkSession, path: str, format: str = "text", names: dict[str, str] | None = None) -> DataFrame:
+    """Reports with the columns ``REPORT``, whole.
+
+    ``format`` "text": a file is a report; its folder is its study, size and time are the file's. "parquet": a row is a
+    report; ``names`` tells which column a field comes from if not from one of its own name. Fields that the table lacks
+    are null, but for the size (bytes of the text) and the role (by the file's name).
+    """
+    if format == "text":
+        rows = spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+        rows = rows.select("text", F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_modification_time").alias("uploaded_at"))
+        rows = rows.withColumns({
+            "report_id": F.regexp_replace("filename", r"\.[^.]*$", ""), "study_id": F.regexp_extract("path", r"([^/]+)/[^/]*$", 1), "report_type": role(F.col("filename"))
+        })
+        return rows.select(*REPORT)
+    rows = spark.read.format(format).load(path)
+    names = {f: (names or {}).get(f, f) for f in REPORT}
+    kinds = {"size_bytes": "long", "uploaded_at": "timestamp"}
+    got = {f: F.col(f"`{c}`").cast(kinds.get(f, "string")) if c in rows.columns else F.lit(None).cast(kinds.get(f, "string")) for f, c in names.items()}
+    got["size_bytes"] = F.coalesce(got["size_bytes"], F.octet_length(got["text"]).cast("long"))
+    got["report_type"] = F.coalesce(got["report_type"], role(got["filename"]))
+    return rows.select(*[got[f].alias(f) for f in REPORT])
 
 
 def build_pairs(originals: DataFrame, rewrites: DataFrame) -> DataFrame:

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fidelis.plans.gate import Thresholds, evaluate_pairs
+from fidelis.plans.gate import Thresholds, accepted, evaluate_pairs
 from fidelis.rules import Finding, Term
 
 
-def gate_stream(stream: DataFrame, rules: list[Finding], lexicon: list[Term], out: str, checkpoint: str, thresholds: Thresholds = Thresholds()) -> StreamingQuery:
-    """Judges each micro-batch of pairs and writes verdicts by batch and decision; a batch that runs again replaces its own."""
+def gate_stream(stream: DataFrame, rules: list[Finding], lexicon: list[Term], out: str, checkpoint: str, thresholds: Thresholds = Thresholds(),
+                require_approve: bool = False, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Judges each micro-batch of pairs and writes verdicts by batch, route and decision; a batch that runs again replaces its own.
+
+    ``routed`` is ``accepted`` or ``blocked``. ``prepare`` makes pairs of a batch of something else.
+    """
 
     def judge(batch: DataFrame, number: int) -> None:
-        evaluate_pairs(batch, rules, lexicon, thresholds).write.mode("overwrite").partitionBy("decision").parquet(f"{out}/batch={number}")
+        verdicts = evaluate_pairs(prepare(batch) if prepare else batch, rules, lexicon, thresholds)
+        verdicts = verdicts.withColumn("routed", F.when(accepted(require_approve), "accepted").otherwise("blocked"))
+        verdicts.write.mode("overwrite").partitionBy("routed", "decision").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
