@@ -38,6 +38,15 @@ def _check(text: Column, f: Finding, with_evidence: bool) -> Column:
     return F.struct(*parts)
 
 
+def _checked(text: Column, rules: list[Finding], with_evidence: bool) -> Column:
+    """An array of the checks; a typed empty one if there are no rules."""
+    if rules:
+        return F.array(*[_check(text, f, with_evidence) for f in rules])
+    found = ", ".join(f"{c}_evidence: array<string>" for c in ("presence", "correctness", "attenuation")) if with_evidence else ""
+    kind = "finding: string, severity_label: string, severity_optional: boolean, mentioned: boolean, correct_matched: boolean, severity_preserved: boolean, attenuation_detected: boolean"
+    return F.array().cast(f"array<struct<{', '.join(filter(None, [kind, found]))}>>")
+
+
 def finding_status(mentioned: Column, preserved: Column, attenuated: Column) -> Column:
     """Attenuated goes before omitted, omitted before wrong severity."""
     return F.when(attenuated, STATUS["attenuated"]).when(~mentioned, STATUS["omitted"]).when(~preserved, STATUS["wrong_severity"]).otherwise(STATUS["ok"])
@@ -46,7 +55,7 @@ def finding_status(mentioned: Column, preserved: Column, attenuated: Column) ->
 def check_findings(df: DataFrame, rules: list[Finding], key: str = "pair_id", text: str = "text", with_evidence: bool = False) -> DataFrame:
     """A row for each report and finding. A null text counts as empty; an empty table gives no rows."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key), plain.alias("__text")).select(key, F.explode(F.array(*[_check(F.col("__text"), f, with_evidence) for f in rules])).alias("c"))
+    rows = df.select(F.col(key), plain.alias("__text")).select(key, F.explode(_checked(F.col("__text"), rules, with_evidence)).alias("c"))
     rows = rows.select(key, "c.*")
     return rows.withColumn("status", finding_status(F.col("mentioned"), F.col("severity_preserved"), F.col("attenuation_detected")))
 
@@ -74,7 +83,7 @@ def checklist_summary(checks: DataFrame, *keys: str) -> DataFrame:
 
 def with_summary(df: DataFrame, rules: list[Finding], text: str = "text") -> DataFrame:
     """``df`` with the counters of ``checklist_summary``, counted within the row: nothing is exploded or grouped."""
-    df = df.withColumn("__c", F.array(*[_check(F.coalesce(F.col(text), F.lit("")), f, False) for f in rules]))
+    df = df.withColumn("__c", _checked(F.coalesce(F.col(text), F.lit("")), rules, False))
     count = lambda test: F.size(F.filter("__c", test)).cast("long")
     df = df.withColumns({
         "n_findings": F.lit(len(rules)).cast("long"),
