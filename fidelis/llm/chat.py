@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes windows of whole turns. Prefix sums of the turns' tokens give, for each window, the turns that
+A conversation becomes windows of whole turns. Running sums of the turns' tokens give, for each window, the turns that
 fit its budget; a turn is never cut, so one that alone is over the budget has a window to itself. Each window but the
 first begins with the conversation's system turn and repeats a limited number of the turns before it. Repeated turns are
 marked and masked: every assistant text is a target exactly once.
@@ -9,24 +9,33 @@ A turn is written ``### role:``, newline, text, ``</turn>``, newline; a repeated
 Backslash, ``#``, ``<`` in texts and roles (in roles ``:`` too) get a backslash before them, so no text can look like a
 mark, and taking the backslashes away gives every text back.
 
-Turns are dealt out by conversation and by ``CHUNK`` turn numbers, so that no conversation is too long for a task;
-a window ends where such a chunk does, and the next one repeats the system turn but no history.
+A conversation of ``LONG`` turns at most is formatted where its turns meet. Of longer ones only the turns' numbers of
+tokens pass through one task, which places them into windows holding no more than a window's history; the texts are then
+dealt out by window. Both ways place turns by the same steps, so a conversation's windows don't depend on its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-CHUNK = 4_096
+from fidelis.llm.common import bounded, written
+
+#: Turns up to which a conversation is formatted in one task; turn numbers that are put in order together beyond that.
+LONG = 4_096
 TURN = re.compile(r"### ((?:[^\\<:]|\\.)*)(<again>)?:\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
-WINDOWS = "conv_id long, chunk long, window int, formatted string, loss array<struct<start:int,end:int>>, n_turns int, n_again int, n_tokens long"
+#: Ids of long conversations that are broadcast.
+BROADCAST_LONG = 1_000_000
+PLACES = "conv_id long, window int, at int, again boolean, chunk long, place int"
+WINDOWS = "conv_id long, window int, formatted string, loss array<struct<start:int,end:int>>, n_turns int, n_again int, n_tokens long"
 
 
 def escape(text: str, more: str = "") -> str:
@@ -42,23 +51,32 @@ def estimated_tokens(text: Column) -> Column:
     return (F.ceil(F.octet_length(text) / 4) + 4).cast("long")
 
 
-def spans(tokens: list[int], fixed: np.ndarray, budget: int, history: int, history_tokens: int) -> list[tuple[int, int, int]]:
-    """Windows ``(first repeated turn, first new turn, end)`` over turns with these tokens.
-
-    ``fixed[i]``: tokens that a window whose first new turn is ``i`` begins with (its system turn).
-    """
-    total, out, at = np.concatenate(([0], np.cumsum(tokens))), [], 0
-    while at < len(tokens):
-        back = at
-        while at and back > max(0, at - history) and total[at] - total[back - 1] <= history_tokens:
-            back -= 1
-        while back < at and total[at + 1] - total[back] + fixed[at] > budget:
-            back += 1  # the first new turn goes before history
-        end = int(np.searchsorted(total, total[back] + budget - fixed[at], side="right")) - 1
-        end = max(end, at + 1)
-        out.append((back, at, end))
-        at = end
-    return out
+class Placer:
+    """Puts the turns of one conversation, as they come, into windows; it remembers a window's history only."""
+
+    def __init__(self, budget: int, history: int, history_tokens: int) -> None:
+        self.budget, self.history_tokens = budget, history_tokens
+        self.window, self.used, self.system, self.recent = -1, 0, None, deque(maxlen=history)
+
+    def place(self, key: object, tokens: int, system: bool) -> list[tuple[int, bool, object]]:
+        """``(window, again, key)`` of what the turn adds: what its window repeats if it opens one, then itself."""
+        out = []
+        if self.window < 0 or self.used + tokens > self.budget:
+            self.window += 1
+            before, self.used = [], self.system[1] if self.system else 0
+            for k, n in reversed(self.recent):
+                held = sum(x for _, x in before)
+                if held + n > self.history_tokens or self.used + held + n + tokens > self.budget:  # the new turn goes before history
+                    break
+                if not (self.system and k == self.system[0]):
+                    before.append((k, n))
+            self.used += sum(n for _, n in before)
+            out = [(self.window, True, k) for k in ([self.system[0]] if self.system else []) + [k for k, _ in reversed(before)]]
+        self.used += tokens
+        if system and not self.system:
+            self.system = (key, tokens)
+        self.recent.append((key, tokens))
+        return [*out, (self.window, False, key)]
 
 
 def _written(role: str, text: str, again: bool) -> tuple[str, int, int]:
@@ -67,35 +85,42 @@ def _written(role: str, text: str, again: bool) -> tuple[str, int, int]:
     return f"{head}{body}</turn>\n", len(head), len(head) + len(body)
 
 
-def _chunk_windows(conv, chunk, rows: list, budget: int, history: int, history_tokens: int) -> list[tuple]:
-    """Windows of one chunk: rows ``(retained, role, text, tokens)`` in their order."""
-    held = next(((r, t, n) for kept, r, t, n in rows if kept), None)
-    turns = [(r, t, n) for kept, r, t, n in rows if not kept]
-    own = None if held else next((i for i, (r, _, _) in enumerate(turns) if r == "system"), None)
-    fixed = np.zeros(len(turns) + 1, np.int64)
-    if held:
-        fixed[:] = held[2]
-    elif own is not None:
-        fixed[own + 1 :] = turns[own][2]
-    out = []
-    for n, (back, start, end) in enumerate(spans([t[2] for t in turns], fixed, budget, history, history_tokens)):
-        system = held or (turns[own] if own is not None and start > own else None)
-        before = [turns[i] for i in range(back, start) if not (own is not None and i == own and start > own)]
-        parts, loss, used, at = [], [], 0, 0
-        for again, (role, text, tokens) in [*[(True, x) for x in ([system] if system else []) + before], *[(False, x) for x in turns[start:end]]]:
-            piece, a, b = _written(role, text, again)
-            if role == "assistant" and not again:
-                loss.append((at + a, at + b))
-            parts.append(piece)
-            at, used = at + len(piece), used + tokens
-        out.append((conv, chunk, n, "".join(parts), loss, end - start, len(before) + bool(system), used))
-    return out
+def _window(conv, window: int, turns: list[tuple[bool, str, str, int]]) -> tuple:
+    """A row of ``WINDOWS`` from turns ``(again, role, text, tokens)``."""
+    parts, loss, at = [], [], 0
+    for again, role, text, _ in turns:
+        piece, a, b = _written(role, text, again)
+        if role == "assistant" and not again:
+            loss.append((at + a, at + b))
+        parts.append(piece)
+        at += len(piece)
+    again = sum(t[0] for t in turns)
+    return conv, window, "".join(parts), loss, len(turns) - again, again, sum(t[3] for t in turns)
+
+
+def _id(value) -> int | None:
+    """A null is NaN or None in pandas; it is told from numbers by being unequal to itself."""
+    return None if value is None or value != value else int(value)
+
+
+def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """The rows of consecutive equal keys, as tuples of the other columns; rows stream."""
+    rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+    for key, group in itertools.groupby(rows, key=lambda row: tuple(map(_id, row[: len(keys)]))):
+        yield key, (row[len(keys) :] for row in group)
+
+
+def _framed(rows: Iterator[tuple], schema: str, size: int = 256) -> Iterator[pd.DataFrame]:
+    names = re.findall(r"(\w+) (?:long|int|string|boolean|array)", schema)
+    while some := list(itertools.islice(rows, size)):
+        frame = pd.DataFrame(some, columns=names)
+        yield frame.astype({c: "Int64" for c in ("conv_id", "chunk") if c in names})
 
 
 def format_conversations(turns: DataFrame, budget: int = 1_024, history: int = 2, history_tokens: int = 256, tokens: Column | None = None) -> DataFrame:
     """Windows of ``turns(conv_id, turn, role, text)``: ``WINDOWS``.
 
-    ``loss`` holds the code-point spans of ``formatted`` that are targets. ``window`` counts within a ``chunk``.
+    ``loss`` holds the code-point spans of ``formatted`` that are targets; ``window`` counts within a conversation.
     ``tokens`` is a column of the tokens of a turn (``estimated_tokens`` of ``text`` unless given).
     Null texts and roles count as empty. Turns are ordered by turn (null first), then role and text; repeated rows are
     repeated turns. The system turn that is retained is the first by that order. A null ``conv_id`` is one conversation.
@@ -103,38 +128,46 @@ def format_conversations(turns: DataFrame, budget: int = 1_024, history: int = 2
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
                         (estimated_tokens(F.coalesce("text", F.lit(""))) if tokens is None else tokens).cast("long").alias("tokens"))
-    rows = rows.withColumn("chunk", F.floor(F.col("turn") / CHUNK)).withColumn("retained", F.lit(False))
-    chunks = rows.groupBy("conv_id").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).filter("low < high").select("conv_id")
-    long = rows.join(chunks, rows["conv_id"].eqNullSafe(chunks["conv_id"]), "left_semi")
-    system = long.filter("role = 'system'").groupBy(F.col("conv_id").alias("id")).agg(F.min(F.struct("turn", "role", "text", "tokens", "chunk")).alias("s"))
-    later = long.select("conv_id", "chunk").distinct().join(system, F.expr("conv_id <=> id and chunk > coalesce(s.chunk, chunk - 1)"))
-    copies = later.select("conv_id", "s.turn", "s.role", "s.text", "s.tokens", "chunk", F.lit(True).alias("retained"))
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, names = None, [], [c.split(" ")[0].strip() for c in re.sub(r"<[^()]*?>>", "", WINDOWS).split(", ")]
-        how = (budget, history, history_tokens)
-
-        def framed(found: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(found, columns=names)
-            return out.astype({"conv_id": "Int64", "chunk": "Int64"})
-
-        for batch in batches:
-            found = []
-            # A null is NaN or None here; it is told from numbers by being unequal to itself.
-            for conv, chunk, kept, role, text, n in batch[["conv_id", "chunk", "retained", "role", "text", "tokens"]].itertuples(index=False):
-                now = (None if conv is None or conv != conv else int(conv), None if chunk is None or chunk != chunk else int(chunk))
-                if now != key:
-                    if held:
-                        found += _chunk_windows(*key, held, *how)
-                    key, held = now, []
-                held.append((kept, role, text, n))
-            yield framed(found)
-        if held:
-            yield framed(_chunk_windows(*key, held, *how))
-
-    dealt = rows.unionByName(copies).repartition("conv_id", "chunk")
-    dealt = dealt.sortWithinPartitions("conv_id", "chunk", F.col("retained").desc(), "turn", "role", "text")
-    return dealt.mapInPandas(windows, WINDOWS)
+    sizes = rows.groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") > LONG)
+    sizes = bounded(written(sizes.select("id"), "long"), BROADCAST_LONG)
+    is_long = F.expr("conv_id <=> id")
+
+    def short_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[tuple]:
+            for (conv,), held in _grouped(batches, ["conv_id"]):
+                held, placer = list(held), Placer(budget, history, history_tokens)
+                places = (p for i, (role, _, n) in enumerate(held) for p in placer.place(i, n, role == "system"))
+                for window, group in itertools.groupby(places, key=lambda p: p[0]):
+                    yield _window(conv, window, [(again, *held[i]) for _, again, i in group])
+
+        yield from _framed(found(), WINDOWS)
+
+    short = rows.join(sizes, is_long, "left_anti").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    short = short.select("conv_id", "role", "text", "tokens").mapInPandas(short_windows, WINDOWS)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[tuple]:
+            for (conv,), held in _grouped(batches, ["conv_id"]):
+                placer, window, at = Placer(budget, history, history_tokens), -1, 0
+                for chunk, place, n, system in held:
+                    for w, again, key in placer.place((_id(chunk), place), n, system):
+                        window, at = w, at + 1 if w == window else 0
+                        yield conv, w, at, again, *key
+
+        yield from _framed(found(), PLACES, 4_096)
+
+    def long_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _framed((_window(conv, window, list(held)) for (conv, window), held in _grouped(batches, ["conv_id", "window"])), WINDOWS)
+
+    ordered = W.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
+    numbered = rows.join(sizes, is_long, "left_semi").withColumn("chunk", F.floor(F.col("turn") / LONG).cast("long"))
+    numbered = written(numbered.withColumn("place", F.row_number().over(ordered)).drop("turn"), "turns")
+    narrow = numbered.select("conv_id", "chunk", "place", "tokens", (F.col("role") == "system").alias("system"))
+    narrow = narrow.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "place")
+    places = narrow.mapInPandas(placed, PLACES).withColumnsRenamed({"conv_id": "c", "chunk": "k", "place": "p"})
+    long = numbered.join(places, F.expr("conv_id <=> c and chunk <=> k and place = p")).select("conv_id", "window", "at", "again", "role", "text", "tokens")
+    long = long.repartition("conv_id", "window").sortWithinPartitions("conv_id", "window", "at").drop("at")
+    return short.unionAll(long.mapInPandas(long_windows, WINDOWS))
 
 
 def read_back(formatted: str) -> list[tuple[str, bool, str]]:
@@ -152,6 +185,7 @@ def digests(windows: DataFrame) -> DataFrame:
     """What the windows of each conversation say when they are read back, first occurrences only: ``DIGESTS``.
 
     A digest needs the conversation's windows in order; they stream through a task, which keeps only running digests.
+    A null ``conv_id`` is one conversation; other columns are ignored; no windows give no rows.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,4 +217,4 @@ def digests(windows: DataFrame) -> DataFrame:
             yield framed(found)
         yield framed(done())
 
-    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "window").mapInPandas(read, DIGESTS)
+    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInPandas(read, DIGESTS)

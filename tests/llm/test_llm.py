@@ -64,11 +64,19 @@ def test_chat_round_trip_and_masks(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
-def test_chat_chunks_keep_the_system_turn(spark, monkeypatch):
-    monkeypatch.setattr(chat, "CHUNK", 4)
-    df = spark.createDataFrame([(1, i, "system" if i == 1 else "user", f"t{i}") for i in range(11)], "conv_id long, turn long, role string, text string")
-    rows = chat.format_conversations(df).orderBy("chunk").collect()
-    assert [chat.read_back(r["formatted"])[0][:2] for r in rows] == [("user", False), ("system", True), ("system", True)]
+def test_chat_windows_do_not_depend_on_length(spark, monkeypatch):
+    """A conversation is cut alike in one task and as a long one, whose turns are dealt out by window."""
+    rng = random.Random(12)
+    rows = [(c, None if i % 29 == 5 else i, rng.choice(["user", "assistant", "system"] if i else ["user"]), prose(rng, rng.randint(0, 60))) for c in (1, 2, None) for i in range(90)]
+    rows += [(3, i, "user", f"t{i}") for i in range(3)] + rows[:4]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    how = {"budget": 150, "history": 3, "history_tokens": 60}
+    whole = sorted(map(repr, chat.format_conversations(df, **how).collect()))
+    monkeypatch.setattr(chat, "LONG", 7)
+    assert sorted(map(repr, chat.format_conversations(df, **how).collect())) == whole and len(whole) > 30
+    for w in chat.format_conversations(df, **how).filter("conv_id = 1 and window > 2").collect():
+        turns = chat.read_back(w["formatted"])
+        assert turns[0][:2] == ("system", True) and sum(again for _, again, _ in turns) == w["n_again"] <= 4
 
 
 # ---- 2 near-duplicates
