@@ -1,7 +1,7 @@
 """BPE encoding and decoding by a prefix-sharing trie.
 
 The words of a batch of texts are made distinct and inserted into a trie, so that a prefix that many words share is
-one path. A depth-first walk gives every node its *last-token state*: the last token of the encoding of the bytes from
+one path; the trie is held as its leaves in order. A depth-first walk gives every node its *last-token state*: the last token of the encoding of the bytes from
 the root to that node. The state of a node follows from those of its ancestors: token ``t`` of ``n`` bytes is the last
 one just if it is a suffix of the path and merging would not join it with the last token of the ancestor ``n`` bytes
 above. An encoding is read by jumping from a word's node back from token to token, so the work on a shared prefix is
@@ -26,8 +26,6 @@ TRIE_WORDS, MEMO_WORDS, BATCH_TEXTS = 10_000, 250_000, 128
 #: The split of byte-level BPE (public; the same for every vocabulary of this family).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-BYTES = [bytes([b]) for b in range(256)]
-
 
 @lru_cache(maxsize=1)
 def _byte_letters() -> dict[str, int]:
@@ -60,6 +58,7 @@ class Coder:
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: k.encode() for k, i in spec["special"].items()}
         self.length_of = {i: len(b) for b, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of))
+        self.packed = {i: i.to_bytes(4, "little") for i in self.length_of}
         ids = spec["vocab"]
         #: pair of ids -> (rank, id of the merged token); and back: the pair, with the rank, that makes a token
         self.merge = {(ids[a], ids[b]): (n, ids[a + b]) for n, (a, b) in enumerate(spec["merges"])}
@@ -121,41 +120,37 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Puts the encodings of distinct words into the memo."""
-        words = sorted(words)
-        for at in range(0, len(words), TRIE_WORDS):
-            self._walk(words[at : at + TRIE_WORDS])
-
-    def _walk(self, words: list[str]) -> None:
-        root: dict = {}
-        for word in words:
-            node = root
-            for byte in word.encode():
-                if (below := node.get(byte)) is None:
-                    below = node[byte] = {}
-                node = below
-            node[-1] = word  # the end of a word
-        last_of, length_of, longest, apart = self.last_of, self.length_of, self.longest, self.apart
-        state: list[int] = [-1] * (1 + max(len(w.encode()) for w in words))  # last tokens along the path, by depth
-        stack: list[tuple[int, bytes, dict]] = [(0, b"", root)]
-        while stack:
-            depth, path, node = stack.pop()
-            for at in range(depth - 1, max(-1, depth - longest - 1), -1):
-                token = last_of.get(path[at:])
-                if token is not None:
-                    if at and (fits := apart.get(state[at] << 32 | token)) is not True:
-                        if fits is False or not self.stay_apart(state[at], token):
-                            continue
-                    state[depth] = token
+        leaves = sorted((w.encode(), w) for w in words)
+        for at in range(0, len(leaves), TRIE_WORDS):
+            self._walk(leaves[at : at + TRIE_WORDS])
+
+    def _walk(self, leaves: list[tuple[bytes, str]]) -> None:
+        """Goes through a trie depth first. It is given by its leaves in order: from one word to the next, the walk goes
+        up to the node where their paths part, whose states are kept, and down the new branch."""
+        last_of, length_of, longest, apart, memo, packed = self.last_of, self.length_of, self.longest, self.apart, self.memo, self.packed
+        state: list[int] = [-1] * (1 + max(len(path) for path, _ in leaves))  # last tokens along the path, by depth
+        before = b""
+        for path, word in leaves:
+            parted = 0
+            for one, other in zip(before, path):
+                if one != other:
                     break
-            for byte, below in node.items():
-                if byte != -1:
-                    stack.append((depth + 1, path + BYTES[byte], below))
-                else:
-                    found, d = [], depth
-                    while d:
-                        found.append(state[d])
-                        d -= length_of[state[d]]
-                    self.memo[below] = b"".join(t.to_bytes(4, "little") for t in reversed(found))
+                parted += 1
+            for depth in range(parted + 1, len(path) + 1):
+                for at in range(depth - 1, depth - longest - 1 if depth > longest else -1, -1):
+                    token = last_of.get(path[at:depth])
+                    if token is not None:
+                        if at and (fits := apart.get(state[at] << 32 | token)) is not True:
+                            if fits is False or not self.stay_apart(state[at], token):
+                                continue
+                        state[depth] = token
+                        break
+            found, depth = [], len(path)
+            while depth:
+                found.append(state[depth])
+                depth -= length_of[state[depth]]
+            memo[word] = b"".join([packed[t] for t in reversed(found)])
+            before = path
 
     # ---- whole texts
 
@@ -226,7 +221,11 @@ def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """``df`` with a string column ``text`` decoded from ``ids``; null ids give null, bytes that are no UTF-8 U+FFFD."""
+    """``df`` with a string column ``text`` decoded from ``ids``; null ids give null, bytes that are no UTF-8 U+FFFD.
+
+    Empty ids give an empty text. Repeated rows stay; a column already named ``text`` is replaced; an empty table gives
+    an empty table.
+    """
     spec = df.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path))
 
     @F.pandas_udf("string")
