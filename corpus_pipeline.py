@@ -6,13 +6,11 @@ next stage's ``docs``. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.llm import bpe, decontam, langid, linededup, neardup
-from fidelis.llm.common import bounded, shared_dir, table, written
+from fidelis.llm.common import bounded, small_batches, table, written
 from fidelis.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,6 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without a labelled row nothing can be predicted, and every text is rejected. Other columns than those of
     ``documents`` are dropped, as in all stages; an empty table gives an empty table.
     """
+    small_batches(spark)
     found = langid.predict(docs.drop("lang"), langid.train(docs))
     letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
     kept = found.filter((F.col("lang_pred") != "und") & ((F.col("similarity") >= LEAST_SIMILARITY) | (letters < LEAST_LETTERS)))
@@ -41,6 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts have no lines to lose and stay as they are; rows that repeat an id are one document,
     rows without an id documents of their own text, after all others. ``n_chars`` is counted again.
     """
+    small_batches(spark)
     found = linededup.dedup_lines(docs)
     kept = found.filter((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -52,6 +52,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It is the one with the smallest id. Null, empty and blank texts are copies of nothing and stay, as do rows without
     an id; rows that repeat an id stay or go together.
     """
+    small_batches(spark)
     found = neardup.near_duplicates(docs).select(F.col("doc_id").alias("id"), "kept").groupBy("id").agg(F.max("kept").alias("kept"))
     gone = bounded(written(found.filter("not kept").select("id"), "copies"), BROADCAST_IDS)
     return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select(*COLUMNS)
@@ -70,6 +71,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has no tokens and decodes to an empty text. Rows repeat as they come.
     """
+    small_batches(spark)
     coded = bpe.round_trip(docs, tokenizer_file())
     return coded.select(
         *COLUMNS, "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
@@ -86,8 +88,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for n, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}-{name}")
-        docs = spark.read.parquet(f"{folder}/{n}-{name}")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs

@@ -33,13 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and survives the loss of any executor."""
+    """``df`` as a table in the shared folder: cuts the lineage and survives the loss of any executor.
+
+    The folder goes when the driver's JVM ends, as the returned table may be read until then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fidelis-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python 1,000 at a time: Spark's default of 10,000 can take hundreds of megabytes of a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # unless somebody has chosen otherwise
+        spark.conf.set(name, "1000")
+
+
 def bounded(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
     """``df`` to be broadcast if its rows (or the sum of ``weight`` over them) are counted to be ``most`` at most."""
     size = df.limit(most + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0

@@ -74,9 +74,9 @@ class Space:
             grams |= codes[n : len(codes) - self.order + 1 + n] << (21 * n)
         grams, counts = np.unique(grams, return_counts=True)
         out = np.zeros(self.dimensions, np.float32)
-        for at in range(0, len(grams), 8192):
-            rows = self.rows(grams[at : at + 8192])
-            out += counts[at : at + 8192].astype(np.float32) @ self.table[rows].astype(np.float32)
+        for at in range(0, len(grams), 2048):
+            rows = self.rows(grams[at : at + 2048])
+            out += counts[at : at + 2048].astype(np.float32) @ self.table[rows].astype(np.float32)
         return out
 
 
