@@ -5,10 +5,11 @@
 2. *Posting.* A class is posted under each (coordinate, value) pair. Two classes with ``need`` equal coordinates out of
    ``k`` must share one of the ``k - need + 1`` rarest pairs of either (*prefix*), so the other lists, the long ones
    among them, are skipped; so is every class that has too few pairs in common with anything at all.
-3. *Counting.* Classes that share a prefix pair meet in one group. A group is dealt out in pairs of blocks of bounded
-   size, so that no task holds more than two blocks. There, equal coordinates are counted; pairs below ``need`` and
-   pairs already connected are skipped (*skip merging*), the rest confirmed on the full sets. A block returns a
-   spanning forest of its links, not all its pairs.
+3. *Counting.* Classes that share a prefix pair meet in one group. A group is dealt out in blocks of bounded size, each
+   with the group's first class, so that near-copies of that one are connected in one pass. Only classes that are not
+   connected to it then meet the other blocks, two blocks in a task. In a meeting, equal coordinates are counted; pairs
+   below ``need`` and pairs already connected are skipped (*skip merging*), the rest confirmed on the full sets. It
+   returns a spanning forest of its links, not all its pairs.
 4. *Components* of the links, and of the copies within the classes.
 
 ``need`` is the largest count that a pair at the threshold misses with a probability below ``miss``: 17 of 32 at 0.85.
@@ -16,13 +17,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.llm.common import bounded, join_skewed, written
@@ -95,59 +96,108 @@ def _grouped(classes: DataFrame, coordinates: int, need: int) -> DataFrame:
     return mine.filter(left > 0).select("doc_id", F.array_distinct(F.transform(prefix, lambda p: p["head"])).alias("groups"))
 
 
-def _meetings(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(doc_id, meets)``: the pairs of blocks, each (group, row block, column block, own block), that a class goes to."""
-    members = groups.select("doc_id", F.explode("groups").alias("head")).join(classes.select("doc_id", "n_shingles"), "doc_id")
-    sizes = members.groupBy("head").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes")).filter("n > 1")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    placed = members.join(sizes.select("head", blocks.alias("blocks")), "head")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    met = F.transform(other, lambda o: F.struct("head", F.least("own", o).alias("row"), F.greatest("own", o).alias("col"), "own"))
-    return placed.groupBy("doc_id").agg(F.flatten(F.collect_list(met)).alias("meets"))
+def _blocks(n: str, size: str) -> Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK_ROWS, F.col(size) / BLOCK_BYTES)).cast("int")
+
+
+def _members(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(head, doc_id, bytes, first, blocks, own)``: a class in a group, the group's first class and blocks, and its own block."""
+    each = groups.select("doc_id", F.explode("groups").alias("head")).join(classes.select("doc_id", (F.col("n_shingles") * 8).alias("bytes")), "doc_id")
+    each = written(each, "members")
+    sizes = each.groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("sum"), F.min("doc_id").alias("first")).filter("n > 1")
+    sizes = written(sizes.select("head", "n", "first", _blocks("n", "sum").alias("blocks")), "sizes")
+    placed = join_skewed(each, sizes, ["head"], "n")
+    return placed.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int"))
+
+
+def _meet(others: Column, row: Callable, col: Callable, own: Column, part: str) -> Column:
+    return F.transform(others, lambda o: F.struct("head", row(o).alias("row"), col(o).alias("col"), own.alias("own"), F.col(part).alias("part")))
+
+
+def _within(members: DataFrame) -> DataFrame:
+    """``(doc_id, meets)``: each class meets those of its own block; a group's first class goes to all of its blocks."""
+    blocks = F.when(F.col("doc_id") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    return members.select("doc_id", _meet(blocks, lambda o: o, lambda o: o, F.col("own"), "doc_id").alias("meets")).groupBy("doc_id").agg(
+        F.flatten(F.collect_list("meets")).alias("meets")
+    )
+
+
+def _between(members: DataFrame, found: DataFrame) -> DataFrame | None:
+    """``(doc_id, meets)`` of what is left between the blocks of a group once ``found(node, component)`` is known.
+
+    Classes connected to their group's first one need not meet each other again. The rest is dealt into blocks of its
+    own, which meet one another and the blocks of the connected ones. None where nothing is left.
+    """
+    found = found.select(F.col("node"), F.col("component"))
+    split = members.filter("blocks > 1")
+    part = split.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    part = written(part.drop("component"), "parts")
+    lead = part.filter("doc_id = first").select("head", F.col("part").alias("lead"))
+    loose = part.join(bounded(lead, BROADCAST_MEETS), "head").withColumn("rest", F.col("part") != F.col("lead"))
+    sizes = loose.filter("rest").groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("sum"))
+    sizes = written(sizes.select("head", _blocks("n", "sum").alias("loose")), "rest")
+    if sizes.isEmpty():
+        return None
+    dealt = loose.join(bounded(sizes, BROADCAST_MEETS), "head").withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(11)), "loose").cast("int"))
+    mine, other = F.col("mine"), F.col("loose") + F.col("own")
+    every = F.sequence(F.lit(0), F.col("loose") + F.col("blocks") - 1)
+    left = _meet(every, lambda o: F.least(mine, o), lambda o: F.greatest(mine, o), mine, "part")
+    settled = _meet(F.sequence(F.lit(0), F.col("loose") - 1), lambda o: o, lambda o: other, other, "part")
+    return dealt.select("doc_id", F.when(F.col("rest"), left).otherwise(settled).alias("meets")).groupBy("doc_id").agg(
+        F.flatten(F.collect_list("meets")).alias("meets")
+    )
 
 
 def _linked(met: DataFrame, size: int, coordinates: int, need: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` between classes that meet: ``met(doc_id, text, meets)``."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc_id", "head", "row", "col", "own", "part", "data"]
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                rows = []
-                for doc, text, meets in batch.iloc[at : at + 200][["doc_id", "text", "meets"]].itertuples(index=False):
-                    data = shingles(text, size).tobytes()
-                    rows += [(doc, m["head"], m["row"], m["col"], m["own"], data) for m in meets]
-                yield pd.DataFrame(rows, columns=["doc_id", "head", "row", "col", "own", "data"])
+            rows, held = [], 0
+            for doc, text, meets in batch[["doc_id", "text", "meets"]].itertuples(index=False):
+                data = shingles(text, size).tobytes()
+                for m in meets:
+                    rows.append((doc, m["head"], m["row"], m["col"], m["own"], m["part"], data))
+                    held += len(data) + 100
+                    if held >= BLOCK_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by, key, held = factors(coordinates), None, []
         for batch in batches:
             out = []
-            for doc, head, row, col, own, data in batch.itertuples(index=False):
+            for doc, head, row, col, own, part, data in batch.itertuples(index=False):
                 if (head, row, col) != key:
                     out += forest(held, key, by, need, percent)
                     key, held = (head, row, col), []
-                held.append((doc, own, data))
+                held.append((doc, own, part, data))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(forest(held, key, by, need, percent), columns=["a", "b"], dtype="int64")
 
-    rows = met.mapInPandas(spread, "doc_id long, head long, row int, col int, own int, data binary")
+    rows = met.mapInPandas(spread, "doc_id long, head long, row int, col int, own int, part long, data binary")
     rows = rows.repartition("head", "row", "col").sortWithinPartitions("head", "row", "col")
     return rows.mapInPandas(link, "a long, b long")
 
 
 def forest(held: list, key: tuple | None, by: np.ndarray, need: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the members of a meeting, between its two blocks where they differ."""
+    """A spanning forest of the links among the members of a meeting, between its two blocks where they differ.
+
+    Members of one part are connected already.
+    """
     if len(held) < 2:
         return []
-    sets = [np.frombuffer(data, np.uint64) for _, _, data in held]
+    sets = [np.frombuffer(data, np.uint64) for *_, data in held]
     signs = np.stack([signature(s, by) for s in sets])
-    own = np.array([o for _, o, _ in held])
+    own = np.array([o for _, o, *_ in held])
     lengths = np.array([len(s) for s in sets])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     names, codes = np.unique(np.concatenate(sets), return_inverse=True)
     marked = np.zeros(len(names), np.int64)
-    root, out = np.arange(len(held)), []
+    root, out = np.unique([part for _, _, part, _ in held], return_inverse=True)[1], []
     for i in range(len(held) - 1):
         near = i + 1 + np.flatnonzero((signs[i + 1 :] == signs[i]).sum(axis=1) >= need)
         near = near[root[near] != root[i]]
@@ -186,14 +236,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     classes = named.join(sets.select("digest", F.col("class").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"])
     classes = written(classes.select("doc_id", "n_shingles", "posts"), "classes")
     groups = written(_grouped(classes, coordinates, need), "groups")
-    meets = written(_meetings(groups, classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))), "meets")
-    links = _linked(docs.join(bounded(meets, BROADCAST_MEETS, F.size("meets")), "doc_id"), size, coordinates, need, percent)
+    inside = written(_members(groups, classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))), "inside")
+
+    def linked(meets: DataFrame) -> DataFrame:
+        meets = bounded(written(meets, "meets"), BROADCAST_MEETS, F.size("meets"))
+        return _linked(docs.join(meets, "doc_id"), size, coordinates, need, percent)
+
     # A document is where its class is, so copies don't take part in the components, but for ids with several texts.
     members = written(join_skewed(named.select("doc_id", "digest"), sets, ["digest"], "n").select("doc_id", "class").distinct(), "members")
     several = members.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
     across = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     sizes = members.groupBy("class").agg(F.count("*").alias("n"))
-    found = written(components(links.unionAll(across)).withColumnRenamed("node", "class").join(sizes, "class"), "found")
+    connected = components(linked(_within(inside)).unionAll(across))
+    if (left := _between(inside, connected)) is not None:
+        connected = components(linked(left).unionAll(connected.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    found = written(connected.withColumnRenamed("node", "class").join(sizes, "class"), "found")
     placed = join_skewed(members, found, ["class"], "n", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "class")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     component = F.coalesce("component", "doc_id")

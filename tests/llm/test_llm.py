@@ -108,6 +108,19 @@ def test_near_duplicates_match_brute_force(spark, corpus, size, percent, monkeyp
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_components(corpus, size, percent)
 
 
+def test_near_duplicates_between_blocks(spark, monkeypatch):
+    """Chains whose ends aren't like their group's first document, across many blocks; copies of the first need no second pass."""
+    left, between = [], neardup._between
+    monkeypatch.setattr(neardup, "_between", lambda *x: left.append(between(*x)) or left[-1])
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 2)
+    words = [f"w{i}" for i in range(400)]
+    chain = [(100 + i, " ".join(words[2 * i : 2 * i + 60])) for i in range(40)]
+    for rows, passes in ((chain, True), ([(i, " ".join([*words[:100], f"x{i}"])) for i in range(20)], False)):
+        got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_components(rows, 3, 85)
+        assert (left[-1] is not None) == passes
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame(edge_rows(), DOCS).withColumn("component_id", F.lit("clash"))
     got = neardup.near_duplicates(df).collect()
