@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space. ``bytes.split()`` cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Most keys that ``join_skewed`` broadcasts.
-HOT_KEYS = 1_000
+#: Most keys that ``join_skewed`` broadcasts; bytes of a batch of texts.
+HOT_KEYS, BATCH_BYTES = 1_000, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python 1,000 at a time: Spark's default of 10,000 can take hundreds of megabytes of a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":  # unless somebody has chosen otherwise
-        spark.conf.set(name, "1000")
+    """Whole texts go to Python in batches of ``BATCH_BYTES``, however long each is, and of 1,000 rows at most.
+
+    Spark's own bounds (10,000 rows, 64 MB) can take hundreds of megabytes of a worker. A setting that somebody has
+    chosen otherwise stays. Like any setting it holds for the session from then on, as plans read it when they run.
+    """
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864", str(BATCH_BYTES))):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name).rstrip("bB") == usual:
+            spark.conf.set(name, ours)
 
 
 def bounded(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
