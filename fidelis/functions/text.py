@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +49,51 @@ def fold(text: Column) -> Column:
     return F.lower(F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), *_folds()))
 
 
+@lru_cache(maxsize=1)
+def _decompositions() -> tuple[str, str, dict[str, str], str]:
+    """Letters that decompose into one that is no mark, those letters, the others, and a class of all marks.
+
+    Worked out from the Unicode data that Python has, for all scripts; Hangul syllables follow a rule of their own.
+    """
+    one, many, marks = {}, {}, []
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            if marks and marks[-1][1] == code - 1:
+                marks[-1][1] = code
+            else:
+                marks.append([code, code])
+        elif not HANGUL[0] <= code <= HANGUL[1] and (apart := unicodedata.normalize("NFD", c)) != c:
+            left = "".join(x for x in apart if unicodedata.category(x) != "Mn")
+            (one if len(left) == 1 else many)[c] = left
+    return "".join(one), "".join(one.values()), many, "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in marks) + "]"
+
+
+#: First and last Hangul syllable; the first of its leading, middle and trailing letters, and how many there are.
+HANGUL = 0xAC00, 0xD7A3
+JAMO = [(0x1100, 19), (0x1161, 21), (0x11A7, 28)]
+
+
+def _syllables_apart(text: Column) -> Column:
+    """Hangul syllables as their letters."""
+    leading, middle, trailing = (F.array(*[F.lit(chr(first + i) if (first, i) != (0x11A7, 0) else "") for i in range(n)]) for first, n in JAMO)
+    at = lambda c: F.ascii(c) - HANGUL[0]
+    parts = lambda c: F.concat(leading[F.floor(at(c) / 588).cast("int")], middle[F.floor(at(c) % 588 / 28).cast("int")], trailing[(at(c) % 28).cast("int")])
+    one = lambda c: F.when(F.ascii(c).between(*HANGUL), parts(c)).otherwise(c)
+    return F.when(text.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+
+def unmarked(text: Column) -> Column:
+    """The text in canonical decomposition (NFD) without its combining marks, for all scripts."""
+    letters, plain, many, marks = _decompositions()
+    for c, left in many.items():
+        text = F.replace(text, F.lit(c), F.lit(left))
+    return F.regexp_replace(_syllables_apart(F.translate(text, letters, plain)), f"{marks}+", "")
+
+
 def normalize_surface(text: Column) -> Column:
-    """Folded, white space collapsed, trimmed."""
-    return F.trim(F.regexp_replace(fold(text), r"(?U)\s+", " "))
+    """Decomposed without marks, in lower case, white space collapsed, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(unmarked(text)), r"(?U)\s+", " "))
 
 
 def sentences(text: Column) -> Column:
@@ -80,6 +123,5 @@ def content_words(text: Column, stop_words: list[str] = STOP_WORDS, least: int =
 
 
 def n_words(text: Column) -> Column:
-    """Words once punctuation is taken away."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s]+", ""), r"(?U)\s+", " "))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, " ")))
+    """Words once punctuation is taken away: the runs without white space that have a letter, a digit or a line."""
+    return F.regexp_count(text, F.lit(r"(?U)\w\S*+"))

@@ -60,11 +60,9 @@ def check_findings(df: DataFrame, rules: list[Finding], key: str = "pair_id", te
     return rows.withColumn("status", finding_status(F.col("mentioned"), F.col("severity_preserved"), F.col("attenuation_detected")))
 
 
-def checklist_summary(checks: DataFrame, *keys: str) -> DataFrame:
-    """Counters per key (``pair_id`` unless given; ``finding`` gives a profile); a weakened finding that isn't mentioned counts twice."""
-    keys = keys or ("pair_id",)
+def _counters() -> list[Column]:
     m, p, a = F.col("mentioned"), F.col("severity_preserved"), F.col("attenuation_detected")
-    out = checks.groupBy(*keys).agg(
+    return [
         F.count("*").alias("n_findings"),
         F.count_if(m).alias("n_mentioned"),
         F.count_if(m & p & ~a).alias("n_correct"),
@@ -72,15 +70,34 @@ def checklist_summary(checks: DataFrame, *keys: str) -> DataFrame:
         F.count_if(~m).alias("n_omitted"),
         F.count_if(m & ~p & ~a).alias("n_wrong_severity"),
         F.count_if(F.col("severity_optional") & m & ~a & ~F.col("correct_matched")).alias("n_severity_optional_not_checked"),
-    )
+    ]
+
+
+def _rates(counted: DataFrame) -> DataFrame:
     n = F.greatest("n_findings", F.lit(1))
-    return out.withColumns({
+    return counted.withColumns({
         "overall_pass": (F.col("n_omitted") == 0) & (F.col("n_attenuated") == 0) & (F.col("n_wrong_severity") == 0),
         "coverage_pct": 100.0 * F.col("n_mentioned") / n,
         "correctness_pct": 100.0 * F.col("n_correct") / n,
     })
 
 
+def checklist_summary(checks: DataFrame, *keys: str) -> DataFrame:
+    """Counters per key (``pair_id`` unless given; ``finding`` gives a profile); a weakened finding that isn't mentioned counts twice."""
+    return _rates(checks.groupBy(*(keys or ("pair_id",))).agg(*_counters()))
+
+
+def checklist_levels(checks: DataFrame, report: str = "pair_id", finding: str = "finding") -> DataFrame:
+    """The counters by report, by finding, and over all, in one pass over the checks.
+
+    ``level`` is ``report``, ``finding`` or ``all``; the keys that a level doesn't have are null. A report whose own key
+    is null still has its row. The row over all is there even if there are no checks, with counts of 0.
+    """
+    level = F.when(F.grouping(report) == 0, "report").when(F.grouping(finding) == 0, "finding").otherwise("all")
+    sets = [[F.col(report)], [F.col(finding)], []]
+    return _rates(checks.groupingSets(sets, report, finding).agg(level.alias("level"), *_counters()))
+
+
 def with_summary(df: DataFrame, rules: list[Finding], text: str = "text") -> DataFrame:
     """``df`` with the counters of ``checklist_summary``, counted within the row: nothing is exploded or grouped."""
     df = df.withColumn("__c", _checked(F.coalesce(F.col(text), F.lit("")), rules, False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 
 def delivery_manifest(studies: DataFrame, reports: DataFrame, accepted: DataFrame, ttl_hours: int = 168) -> DataFrame:
@@ -17,11 +18,12 @@ def delivery_manifest(studies: DataFrame, reports: DataFrame, accepted: DataFram
 
 
 def audit_trail(*events: DataFrame) -> DataFrame:
-    """One log of all events, by study and time."""
+    """One log of all events, by study and time; those of one time in the order of their other columns, by name."""
     out = events[0]
     for e in events[1:]:
         out = out.unionByName(e, allowMissingColumns=True)
-    return out.orderBy("study_id", "ts")
+    rest = sorted(f.name for f in out.schema if f.name not in ("study_id", "ts") and not isinstance(f.dataType, (MapType, VariantType)))
+    return out.orderBy("study_id", "ts", *rest)
 
 
 # What the fields may hold.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,22 +39,82 @@ def canonicals(text: Column, lexicon: list[Term]) -> Column:
     return F.array_compact(F.array(*tests))
 
 
+def literal(pattern: str) -> tuple[bool, str, bool] | None:
+    """``(boundary before, text, boundary after)`` of a pattern that is a plain phrase, maybe between ``\\b``; else None."""
+    found = re.fullmatch(r"(\\b)?((?:[^\W_]|[ _]|\\[-.,'/ ])+)(\\b)?", pattern)
+    return found and (bool(found[1]), re.sub(r"\\(.)", r"\1", found[2]), bool(found[3]))
+
+
+#: Letters that equal a plain one when case is ignored, though their lower case is another (fixed values).
+ALIKE = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
+
+
+def _lower(text: str) -> str:
+    """Lower case, letter by letter, so that places stay."""
+    low = text.translate(ALIKE).lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text.translate(ALIKE))
+
+
+class Finder:
+    """All matches of many patterns in a text: one pass of an automaton for phrases, and one look for all other patterns.
+
+    Each pattern's matches are those of ``re.finditer`` without regard to case; matches of different patterns overlap.
+    """
+
+    def __init__(self, terms: list[Term]) -> None:
+        import ahocorasick
+
+        self.phrases, self.others = ahocorasick.Automaton(), []
+        rules = [(t.canonical, t.entity_type, p) for t in terms for p in t.patterns]
+        by_text: dict[str, list] = {}
+        for n, (canonical, kind, pattern) in enumerate(rules):
+            if (plain := literal(pattern)) is not None:
+                by_text.setdefault(_lower(plain[1]), []).append((n, canonical, kind, plain[0], plain[2]))
+            else:
+                self.others.append((canonical, kind, re.compile(pattern, re.I)))
+        for text, owners in by_text.items():
+            self.phrases.add_word(text, (len(text), owners))
+        self.any_phrase = bool(by_text)
+        if by_text:
+            self.phrases.make_automaton()
+        # Where patterns have groups, joining them would renumber what they refer back to.
+        joined = [p.pattern for _, _, p in self.others if not re.search(r"\\\d|\(\?P", p.pattern)]
+        self.any_other = re.compile("|".join(f"(?:{p})" for p in joined), re.I) if len(joined) == len(self.others) > 1 else None
+        self.letter = re.compile(r"\w")
+
+    def _bounded(self, text: str, at: int) -> bool:
+        before, after = at > 0 and self.letter.match(text[at - 1]), at < len(text) and self.letter.match(text[at])
+        return bool(before) != bool(after)
+
+    def find(self, text: str) -> Iterator[tuple[str, str, str, int, int]]:
+        if self.any_phrase:
+            ends: dict[int, int] = {}
+            for last, (size, owners) in self.phrases.iter(_lower(text)):
+                start, end = last + 1 - size, last + 1
+                for n, canonical, kind, before, after in owners:
+                    if start >= ends.get(n, 0) and (not before or self._bounded(text, start)) and (not after or self._bounded(text, end)):
+                        ends[n] = end
+                        yield canonical, kind, text[start:end], start, end
+        if self.any_other is None or self.any_other.search(text):
+            for canonical, kind, pattern in self.others:
+                for m in pattern.finditer(text):
+                    yield canonical, kind, m[0], m.start(), m.end()
+
+
 def extract_entities(df: DataFrame, lexicon: list[Term], key: str = "report_id", text: str = "text") -> DataFrame:
-    """A row for each match of each pattern: ``(key, canonical, entity_type, surface, start, end)``; overlaps all count."""
-    rules = [(t.canonical, t.entity_type, t.patterns) for t in lexicon]
+    """A row for each match of each pattern: ``(key, canonical, entity_type, surface, start, end)``; overlaps all count.
+
+    Texts are read once for all phrases of the lexicon, and once to see whether any other pattern matches. Rows leave a
+    task 10,000 at a time, so a text with any number of mentions needs no more memory. Null texts mention nothing.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(c, e, [re.compile(p, re.I) for p in ps]) for c, e, ps in rules]
+        finder, columns = Finder(lexicon), [key, "canonical", "entity_type", "surface", "start", "end"]
         for batch in batches:
-            rows = [
-                (k, c, e, m[0], m.start(), m.end())
-                for k, t in zip(batch[key], batch[text])
-                for c, e, ps in compiled
-                for p in ps
-                for m in p.finditer(t or "")
-            ]
-            yield pd.DataFrame(rows, columns=[key, "canonical", "entity_type", "surface", "start", "end"])
+            every = ((k, *m) for k, t in zip(batch[key], batch[text]) if t for m in finder.find(t))
+            while rows := list(islice(every, 10_000)):
+                yield pd.DataFrame(rows, columns=columns)
 
     return df.select(key, text).mapInPandas(found, f"`{key}` {kind}, canonical string, entity_type string, surface string, start int, end int")
 

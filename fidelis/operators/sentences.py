@@ -53,25 +53,67 @@ def best_premise(scores: DataFrame) -> DataFrame:
     return scores.groupBy("pair_id", "pos").agg(best).select("pair_id", "pos", F.col("best.score").alias("score"), (-F.col("best.back")).alias("prem_pos"))
 
 
+def best_matches(sentence: list[list[str] | None], source: list[list[str]]) -> list[tuple[int, int] | None]:
+    """For each sentence's words the most words shared with a source sentence, and the first source sentence that has them.
+
+    Source sentences are posted under their words. A sentence asks for its rarest words first. Once a source sentence is
+    ahead of all that the words left could still add up to, lists aren't read any more: the sentences met so far are
+    only asked whether they have the words left. So the long lists of common words are hardly ever read. None for None;
+    (0, -1) where nothing is shared.
+    """
+    posts: dict[str, list[int]] = {}
+    for at, words in enumerate(source):
+        for w in words:
+            posts.setdefault(w, []).append(at)
+    sets = [set(words) for words in source]
+    out: list[tuple[int, int] | None] = []
+    for words in sentence:
+        if words is None:
+            out.append(None)
+            continue
+        found: dict[int, int] = {}
+        order, most = sorted((w for w in words if w in posts), key=lambda w: len(posts[w])), 0
+        for i, w in enumerate(order):
+            if most > len(order) - i:  # nobody new can catch up, so the words left are looked up
+                for at, n in found.items():
+                    found[at] = n + sum(v in sets[at] for v in order[i:])
+                break
+            for at in posts[w]:
+                found[at] = found.get(at, 0) + 1
+            most = max(most, max(found[at] for at in posts[w]))
+        out.append(max(((n, -at) for at, n in found.items()), default=(0, 1)))
+    return [None if x is None else (x[0], -x[1]) for x in out]
+
+
+def _best(sentences: pd.Series, sources: pd.Series) -> pd.Series:
+    """``best_matches`` for each pair of a batch."""
+    plain = lambda x: None if x is None else list(x)
+    return pd.Series([[None if m is None else {"both": m[0], "prem_pos": m[1]} for m in best_matches([plain(w) for w in s], [plain(w) for w in p])] for s, p in zip(sentences, sources)])
+
+
+def _matched(df: DataFrame, lexicon: list[Term] | None, stop_words: list[str], original: str, rewrite: str) -> DataFrame:
+    """``df`` with ``__s``: for each sentence of the rewrite ``(skip_reason, score, prem_pos)``, all within the row."""
+    words = lambda s: content_words(s, stop_words)
+    whole = lambda c: sentences(F.coalesce(F.col(c), F.lit("")))
+    reason = lambda h: F.when(F.size(h["w"]) < 4, SHORT) if lexicon is None else F.when(F.size(h["w"]) < 4, SHORT).when(~mentions_any(h["s"], lexicon), PLAIN)
+    cut = F.transform(F.transform(whole(rewrite), lambda s: F.struct(s.alias("s"), words(s).alias("w"))), lambda h: F.struct(reason(h).alias("skip_reason"), h["w"].alias("w")))
+    df = df.withColumns({"__h": cut, "__p": F.transform(whole(original), words)})
+    best = F.pandas_udf(_best, "array<struct<both: int, prem_pos: int>>")
+    df = df.withColumn("__m", best.asNondeterministic()(F.transform("__h", lambda h: F.when(h["skip_reason"].isNull(), h["w"])), F.col("__p")))
+    score = lambda h, m: F.when(h["skip_reason"].isNotNull(), 1.0).otherwise(m["both"] / F.size(h["w"]))
+    one = lambda h, m: F.struct(h["skip_reason"].alias("skip_reason"), score(h, m).alias("score"), F.when(m["both"] > 0, m["prem_pos"]).alias("prem_pos"))
+    return df.withColumn("__s", F.zip_with("__h", "__m", one)).drop("__h", "__p", "__m")
+
+
 def sentence_scores(pairs: DataFrame, lexicon: list[Term] | None, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """``(pair_id, original_id, pos, skip_reason, score, prem_pos)`` of every sentence of each rewrite, without texts.
 
-    Every original is cut into words once, however many rewrites it has. Skipped sentences and those that share no word
-    pass through the same join and aggregate as the others (score 0, no ``prem_pos``), so nothing is joined back.
+    A pair's sentences are matched within its row, by ``best_matches``: no word leaves it, so nothing is shuffled, and
+    the work doesn't grow with the product of both sides' sentences. Skipped sentences score 1, those that share no
+    word 0; both have no ``prem_pos``. Null texts have no sentences.
     """
-    gated = sentence_gate(sentence_words(pairs, "humanized_text", "pair_id", "original_id", stop_words=stop_words), lexicon)
-    words = F.when(F.col("skip_reason").isNull(), F.col("words"))
-    h = gated.select("pair_id", "original_id", "pos", "skip_reason", F.size("words").alias("n"), F.explode_outer(words).alias("word"))
-    once = pairs.groupBy("original_id").agg(F.first("original_text").alias("original_text"))
-    p = sentence_words(once, "original_text", "original_id", stop_words=stop_words)
-    p = p.select("original_id", F.col("pos").alias("prem_pos"), F.explode("words").alias("word"))
-    met = h.join(p, ["original_id", "word"], "left").groupBy("pair_id", "original_id", "pos", "skip_reason", "n", "prem_pos").agg(F.count("prem_pos").alias("both"))
-    # The best of the source sentences, the first of equals; a long is packed from the count and the place.
-    key = F.max(F.when(F.col("both") > 0, F.shiftleft(F.col("both"), 32) - F.col("prem_pos"))).alias("best")
-    best = met.groupBy("pair_id", "original_id", "pos", "skip_reason", "n").agg(key)
-    both = F.shiftright(F.col("best") + 0xFFFFFFFF, 32)
-    score = F.when(F.col("skip_reason").isNotNull(), 1.0).otherwise(F.coalesce(both / F.col("n"), F.lit(0.0)))
-    return best.select("pair_id", "original_id", "pos", "skip_reason", score.alias("score"), (F.shiftleft(both, 32) - F.col("best")).cast("int").alias("prem_pos"))
+    rows = _matched(pairs.select("pair_id", "original_id", "original_text", "humanized_text"), lexicon, stop_words, "original_text", "humanized_text")
+    return rows.select("pair_id", "original_id", F.posexplode("__s").alias("pos", "s")).select("pair_id", "original_id", "pos", "s.skip_reason", "s.score", "s.prem_pos")
 
 
 def sentence_verdicts(pairs: DataFrame, lexicon: list[Term] | None, threshold: float = 0.4, stop_words: list[str] = STOP_WORDS, texts: bool = True) -> DataFrame:
@@ -92,27 +134,44 @@ def sentence_verdicts(pairs: DataFrame, lexicon: list[Term] | None, threshold: f
 
 
 def with_support(df: DataFrame, lexicon: list[Term] | None, threshold: float = 0.30, stop_words: list[str] = STOP_WORDS, original: str = "original_text", rewrite: str = "humanized_text") -> DataFrame:
-    """``df`` with the counts of ``entailment_report``, worked out within the row: nothing is exploded or joined.
+    """``df`` with a summary of its sentences' scores and the counts of ``entailment_report``, worked out within the row.
+
+    ``support_scores`` has the scores of the assessed sentences in ascending order, from which ``at_threshold`` reads the
+    counts at any threshold.
+    """
+    df = _matched(df, lexicon, stop_words, original, rewrite)
+    assessed = F.filter("__s", lambda x: x["skip_reason"].isNull())
+    df = df.withColumns({"n_sentences": F.size("__s").cast("long"), "support_scores": F.array_sort(F.transform(assessed, lambda x: x["score"]))}).drop("__s")
+    return at_threshold(df, threshold)
 
-    For reports of up to some hundred sentences this is cheaper than the join of words, as no word leaves its row; the
-    work grows with the product of both sides' sentences, so take ``sentence_scores`` for much longer ones.
+
+def score_summary(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(pair_id, n_sentences, support_scores)`` from ``sentence_scores``: the assessed sentences' scores, ascending.
+
+    A pair without sentences has 0 and an empty array. Summaries of parts of a pair merge by ``merge_summaries``.
     """
-    cut = lambda c: F.transform(sentences(F.coalesce(F.col(c), F.lit(""))), lambda s: F.struct(s.alias("s"), content_words(s, stop_words).alias("w")))
-    clinical = lambda s: F.lit(True) if lexicon is None else mentions_any(s, lexicon)
+    one = F.array_sort(F.collect_list(F.when(F.col("skip_reason").isNull(), F.col("score"))))
+    found = scores.groupBy("pair_id").agg(F.count("*").alias("n_sentences"), one.alias("support_scores"))
+    out = pairs.select("pair_id").distinct().join(found, "pair_id", "left")
+    return out.select("pair_id", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.coalesce("support_scores", F.array().cast("array<double>")).alias("support_scores"))
+
 
-    def score(h: Column, source: Column) -> Column:
-        best = F.array_max(F.transform(source, lambda p: F.size(F.array_intersect(h["w"], p["w"]))))
-        return F.when((F.size(h["w"]) >= 4) & clinical(h["s"]), F.coalesce(best, F.lit(0)) / F.size(h["w"]))
+def merge_summaries(summaries: DataFrame) -> DataFrame:
+    """One summary per pair from those of parts of it (of a rewrite's sections, say): counts add up, arrays interleave."""
+    every = F.array_sort(F.flatten(F.collect_list("support_scores")))
+    return summaries.groupBy("pair_id").agg(F.sum("n_sentences").alias("n_sentences"), every.alias("support_scores"))
 
-    # Arrays of one hold the source's sentences and the scores, so that a lambda sees them as worked out already.
-    scored = F.flatten(F.transform(F.array(cut(original)), lambda source: F.transform(cut(rewrite), lambda h: score(h, source))))
-    count = lambda x, test: F.size(F.filter(x, test)).cast("long")
-    counts = F.transform(F.array(scored), lambda x: F.struct(
-        F.size(x).cast("long").alias("n_sentences"), count(x, lambda s: s.isNotNull()).alias("n_assessed"),
-        count(x, lambda s: s >= threshold).alias("n_entailed"), count(x, lambda s: s < threshold).alias("n_unsupported")))
-    df = df.withColumn("__n", F.element_at(counts, 1))
-    df = df.withColumns({c: F.col(f"__n.{c}") for c in ("n_sentences", "n_assessed", "n_entailed", "n_unsupported")}).drop("__n")
-    return df.withColumn("entailment_rate", F.when(F.col("n_assessed") == 0, 1.0).otherwise(F.col("n_entailed") / F.col("n_assessed")))
+
+def at_threshold(df: DataFrame, threshold: float | Column) -> DataFrame:
+    """``df(support_scores)`` with ``n_assessed``, ``n_entailed``, ``n_unsupported`` and ``entailment_rate`` at a threshold.
+
+    Nothing is measured again: the scores from ``threshold`` on are counted. The rate is 1.0 where none was assessed.
+    """
+    scores = F.col("support_scores")
+    n, entailed = F.size(scores).cast("long"), F.size(F.filter(scores, lambda s: s >= threshold)).cast("long")
+    df = df.withColumns({"n_assessed": n, "n_entailed": entailed})
+    rate = F.when(F.col("n_assessed") == 0, 1.0).otherwise(F.col("n_entailed") / F.col("n_assessed"))
+    return df.withColumns({"n_unsupported": F.col("n_assessed") - F.col("n_entailed"), "entailment_rate": rate})
 
 
 def entailment_report(verdicts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -151,14 +210,19 @@ def score_with(candidates: DataFrame, scores: DataFrame | Callable[[pd.Series, p
     """Candidates with a model's ``contradiction``.
 
     ``scores`` is a table ``(pair_id, hyp_pos, prem_pos, contradiction)``, where 0 stands for what it lacks, or a scorer:
-    a function of a batch of premises and one of hypotheses, which sees every different couple of sentences once.
+    a function of a batch of premises and one of hypotheses, which sees every different couple of sentences once. With a
+    scorer the result has no texts: couples are told apart and joined by 128-bit digests.
     """
     if isinstance(scores, DataFrame):
         known = scores.select("pair_id", F.col("hyp_pos").alias("pos"), "prem_pos", "contradiction")
         return candidates.join(known, ["pair_id", "pos", "prem_pos"], "left").withColumn("contradiction", F.coalesce("contradiction", F.lit(0.0)))
     scorer = F.pandas_udf(scores, "double").asNondeterministic()
-    couples = candidates.select("premise", "sentence").distinct()
-    return candidates.join(couples.withColumn("contradiction", scorer("premise", "sentence")), ["premise", "sentence"])
+    couple = F.unhex(F.md5(F.concat(F.md5("premise"), F.md5("sentence"))))
+    keyed = candidates.withColumn("__couple", couple)
+    # The texts go no further than to the scorer: each couple once, then only its digest and its score.
+    couples = keyed.groupBy("__couple").agg(F.first("premise").alias("premise"), F.first("sentence").alias("sentence"))
+    scored = couples.select("__couple", scorer("premise", "sentence").alias("contradiction"))
+    return keyed.drop("premise", "sentence").join(scored, "__couple").drop("__couple")
 
 
 def worst_premise(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,25 +19,34 @@ from fidelis.plans import queries as base
 from fidelis.plans.queries import ANCHORS, FINDINGS, LEXICON, PAIRS, Q, TERMS, T, _canon, _measured, _t, _voted, measures, pairs
 from fidelis.rules import Finding, near
 from fidelis.rules import knee
-from fidelis.sources.reports import build_pairs, read_reports, write_verdicts
-from fidelis.streaming.gate import gate_stream
+from fidelis.sources.reports import build_pairs, read_reports, read_verdicts, study_manifest, write_verdicts
+from fidelis.streaming.gate import gate_stream, pair_stream
 
 NEAR = [Finding("near", "", [near("the", "of", 12)], [near(r"\band\b", r"\bthe\b", 30)], [near("tion", "was", 5)])]
 SYNONYMS = {"that": ["of the"], "tion": ["with a", "ière"], "thea": ["and the"]}
 EXPANDED = entities.expand_synonyms(LEXICON, SYNONYMS)
+LENIENT = gate.Thresholds(ner_min_recall=0.3, nli_min_entailment_rate=0.05, nli_score_threshold=0.05)
 SEMANTIC = gate.Thresholds(ner_min_recall=0.4, nli_min_entailment_rate=0.2)
-#: Phrases that the knee rules are about; texts get two of them by their length.
+#: Phrases that the knee rules are about, some of them negated; they are put into texts.
 KNEE = [
     "Rotura completa del LCA.", "Rotura parcial del LCA.", "El menisco interno tiene una rotura compleja.", "El menisco interno está intacto.",
     "Edema óseo en la meseta tibial.", "Distensión leve del LCM.", "Condromalacia grado II del cartílago.", "Derrame articular moderado.",
     "Sin derrame.", "Valorar por traumatología la reconstrucción del LCA.", "Basta con reposo y fisioterapia.", "Golpe en los huesos, grado I.",
+    "LCM con rotura completa.", "LCM sin rotura completa.", "LCM no rotura completa.", "Grado II del LCM.", "LCM sin grado III.", "Lesión de grado III.", "LCI, no grado II, grado III.",
 ]
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder of our own in the folder that all executors share (the warehouse, where none is named)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared}/fidelis-{uuid.uuid4().hex}"
+    """A folder of our own in the folder that all executors share; it goes when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="fidelis-")
+    path = f"{shared}/fidelis-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def a1_reports(spark, sf_dir):
@@ -50,10 +61,22 @@ def a2_pairs(spark, sf_dir):
     return p.select("study_id", "pair_id", "original_id", "humanized_id", F.md5(F.concat("original_text", "humanized_text").cast("binary")).alias("digest"))
 
 
+def a3_studies(spark, sf_dir):
+    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    files = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    role = F.when(F.col("l_linenumber") == 1, "ORIGINAL").when(F.col("l_linenumber") == 2, "AMENDMENT").otherwise("HUMANIZED")
+    up = files.select(F.col("l_orderkey").alias("study_id"), F.col("o_custkey").alias("dni"), F.floor(F.col("l_extendedprice") * 100).alias("n_bytes"), role.alias("report_type"))
+    return study_manifest(up).withColumn("report_types", F.array_join("report_types", ","))
+
+
 def a4_verdicts(spark, sf_dir):
-    path = _scratch(spark)
-    write_verdicts(gate.decide(measures(spark, sf_dir), T), path)
-    return spark.read.parquet(path).groupBy("decision").agg(F.count("*").alias("n"), F.min("pair_id").alias("first_pair"))
+    """Two runs, the second one written twice with other thresholds; both are read back."""
+    path, m = _scratch(spark), measures(spark, sf_dir)
+    decided = lambda t: gate.decide(m, t).select("pair_id", "votes", "decision")
+    write_verdicts(decided(T), path, "2026-01-01")
+    write_verdicts(decided(T).filter("decision = 'REJECT'"), path, "2026-01-02")
+    write_verdicts(decided(LENIENT), path, "2026-01-02")
+    return read_verdicts(spark, path).groupBy("run", "decision").agg(F.count("*").alias("n"), F.min("pair_id").alias("first_pair"))
 
 
 def b5_corpus_totals(spark, sf_dir):
@@ -78,11 +101,13 @@ def d6_near(spark, sf_dir):
 
 
 def _knee(spark, sf_dir):
-    """Documents with two knee phrases each, picked by their lengths."""
+    """Whole documents with two knee phrases put into each: one before its first blank, one at its end."""
     d = _t(spark, sf_dir, "documents").filter("doc_id is not null")
     phrase = lambda at: F.element_at(F.array(*map(F.lit, KNEE)), (F.pmod(at, F.lit(len(KNEE))) + 1).cast("int"))
-    n = F.coalesce(F.length("text"), F.lit(0))
-    return d.select("doc_id", F.concat_ws(" ", phrase(n), phrase(F.floor(n / 7) + F.col("doc_id")), F.substring(F.coalesce("text", F.lit("")), 1, 0)).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    first = F.substring_index(text, " ", 1)
+    rest = F.substring(text, F.length(first) + 1, F.length(text))
+    return d.select("doc_id", F.concat(first, F.lit(". "), phrase(F.col("doc_id")), rest, F.lit(". "), phrase(F.floor(F.col("doc_id") / len(KNEE)) + F.length(text))).alias("text"))
 
 
 def d7_knee_rules(spark, sf_dir):
@@ -180,32 +205,51 @@ def i2_audit(spark, sf_dir):
 
 
 def j1_stream(spark, sf_dir):
-    """The gate over the conversations as a file stream; a micro-batch's turns are paired as in ``pairs``."""
+    """The gate over a stream in which a turn and the one before it never arrive together.
+
+    The conversations are laid out as seven files or more by turn, which a micro-batch takes one of at a time.
+    """
     path = _scratch(spark)
-    schema = _t(spark, sf_dir, "conversations").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet")
-    gate_stream(stream, FINDINGS, LEXICON, f"{path}/out", f"{path}/state", T, prepare=base.adjacent).awaitTermination()
-    return spark.read.parquet(f"{path}/out").groupBy("routed", "decision").agg(F.count("*").alias("n"))
+    at = F.timestamp_seconds((F.col("turn") + 1_000_000) * 60)
+    name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
+    turns = _t(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), at.alias("uploaded_at"))
+    turns.repartitionByRange(7, "turn").write.parquet(f"{path}/turns")
+    arriving = lambda: spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/turns")
+    report = lambda d, t: d.select(name(t).alias("study_id"), F.col("turn").cast("string").alias("report_id"), "text", "uploaded_at")
+    met = pair_stream(report(arriving(), F.col("turn")), report(arriving(), F.col("turn") - 1), late="1 hour", wait="1 hour")
+    gate_stream(met, FINDINGS, LEXICON, f"{path}/out", f"{path}/state", T).awaitTermination()
+    return read_verdicts(spark, f"{path}/out").groupBy("routed", "decision").agg(F.count("*").alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        a1_reports, a2_pairs, a4_verdicts, b5_corpus_totals, b5_corpus_card, d2_evidence, d6_near, d7_knee_rules, e2_synonyms, e3_knee_lexicon, e6_external,
+        a1_reports, a2_pairs, a3_studies, a4_verdicts, b5_corpus_totals, b5_corpus_card, d2_evidence, d6_near, d7_knee_rules, e2_synonyms, e3_knee_lexicon, e6_external,
         f3_best_premise, f5_unsupported, f9_scorer, g1_requests, h2_modes, h5_backends, h6_overall, h7_decision_report, i2_audit, j1_stream,
     )
 }
 
 
+#: A pattern's look-behind, and the same as a group: what must not come before, and what follows.
+BEHIND = r"(?<!sin\s)(?<!no\s)"
+
+
 def _plain(pattern: str) -> str:
-    """A pattern without look-around, for texts where it makes no difference."""
-    for part in (r"(?<!sin\s)", r"(?<!no\s)", "(?!I)"):
-        pattern = pattern.replace(part, "")
-    return pattern
+    """A pattern without look-around, for texts that ``_masked`` has gone over; ``(?!I)`` before a boundary says nothing new."""
+    return pattern.replace(BEHIND, "").replace("(?!I)", "")
+
+
+def _masked(text: str, patterns: list[str]) -> str:
+    """``text`` without what a pattern's look-behind keeps it from matching."""
+    for pattern in patterns:
+        if BEHIND in pattern:
+            after = re.match(r"\(\?:(?:[^()]|\([^()]*\))*\)\\b", pattern.split(BEHIND, 1)[1])[0]
+            text = f"regexp_replace({text}, {Q(r'(?is)(sin|no)\s' + after)}, '\\1', 'g')"
+    return text
 
 
 def _any(text: str, patterns: list[str]) -> str:
-    return "(" + " OR ".join(base._has(text, _plain(p)) for p in patterns) + ")" if patterns else "false"
+    return "(" + " OR ".join(base._has(_masked(text, [p]), _plain(p)) for p in patterns) + ")" if patterns else "false"
 
 
 def _canonicals(text: str, lexicon) -> str:
@@ -219,8 +263,8 @@ def _seen(patterns: list[str]) -> str:
     return f"array_to_string(list_filter({tidy}, lambda x, i: list_position({tidy}, x) = i)[1:3], '|')"
 
 
-_KNEE_SQL = f"""knee AS (SELECT doc_id, p[(coalesce(length(text), 0) % {len(KNEE)}) + 1] || ' ' || p[((coalesce(length(text), 0) // 7 + doc_id) % {len(KNEE)}) + 1] || ' ' AS t
- FROM documents, (SELECT [{', '.join(map(Q, KNEE))}] AS p) WHERE doc_id IS NOT NULL)"""
+_KNEE_SQL = f"""knee AS (SELECT doc_id, f || '. ' || p[doc_id % {len(KNEE)} + 1] || x[length(f) + 1:] || '. ' || p[(doc_id // {len(KNEE)} + length(x)) % {len(KNEE)} + 1] AS t
+ FROM (SELECT doc_id, coalesce(text, '') AS x, split_part(coalesce(text, ''), ' ', 1) AS f FROM documents WHERE doc_id IS NOT NULL), (SELECT [{', '.join(map(Q, KNEE))}] AS p))"""
 _BEST = f"""WITH {base.VERDICT_CTE}, pt AS (SELECT pair_id, pos, trim(s) AS s, {base.WORDS.format('s')} AS w FROM ps),
  ranked AS (SELECT g.pair_id, g.pos, pt.s, row_number() OVER (PARTITION BY g.pair_id, g.pos ORDER BY len(list_intersect(g.w, pt.w)) DESC, pt.pos) AS k, len(list_intersect(g.w, pt.w)) AS b
   FROM g JOIN pt USING (pair_id) WHERE r IS NULL),
@@ -232,7 +276,8 @@ _NEAR = {k: _any("t", getattr(NEAR[0], k)) for k in ("presence", "correctness",
 ORACLE_SQL: dict[str, str] = {
     "a1_reports": "SELECT doc_id::VARCHAR AS report_id, lang AS study_id, CASE WHEN source IS NULL THEN 'HUMANIZED' WHEN regexp_matches(source, '(?i)original') THEN 'ORIGINAL' WHEN regexp_matches(source, '(?i)amendment|adenda') THEN 'AMENDMENT' ELSE 'HUMANIZED' END AS report_type, source AS filename, strlen(text) AS size_bytes, md5(text) AS digest, true AS no_time FROM documents",
     "a2_pairs": "SELECT a.conv_id AS study_id, a.conv_id || ':' || a.turn || '/' || b.conv_id || ':' || b.turn AS pair_id, a.conv_id || ':' || a.turn AS original_id, b.conv_id || ':' || b.turn AS humanized_id, md5(a.text || b.text) AS digest FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant'",
-    "a4_verdicts": f"{_measured()} SELECT decision, count(*) AS n, min(pair_id) AS first_pair FROM {_voted(T)} GROUP BY decision",
+    "a3_studies": "SELECT l_orderkey AS study_id, count(*) AS n_files, sum(b)::BIGINT AS size_bytes, greatest(1, sum(b) // 524288)::BIGINT AS n_instances, 'folder-' || any_value(o_custkey) AS folder_id, string_agg(DISTINCT r, ',' ORDER BY r) AS report_types FROM (SELECT l_orderkey, o_custkey, floor(l_extendedprice * 100)::BIGINT AS b, CASE l_linenumber WHEN 1 THEN 'ORIGINAL' WHEN 2 THEN 'AMENDMENT' ELSE 'HUMANIZED' END AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY l_orderkey",
+    "a4_verdicts": f"{_measured()} SELECT '2026-01-01' AS run, decision, count(*) AS n, min(pair_id) AS first_pair FROM {_voted(T)} GROUP BY decision UNION ALL SELECT '2026-01-02', decision, count(*), min(pair_id) FROM {_voted(LENIENT)} GROUP BY decision",
     "b5_corpus_totals": f"SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS chars, sum({base.NWORDS.format('text')})::BIGINT AS words FROM documents GROUP BY lang",
     "b5_corpus_card": f"SELECT doc_id, n_chars, w AS n_words, s AS n_sentences, floor({base.SP} * 100 + 0.5) / 100.0 AS szigriszt_pazos, {base.BAND} AS inflesz_category, {base.SP} >= 55 AS meets_healthcare_target FROM ({base.MEASURED} FROM (SELECT doc_id, length(text) AS n_chars, coalesce({base._markdown()}, '') AS t FROM documents))",
     "d2_evidence": f"WITH {PAIRS} " + " UNION ALL ".join(f"SELECT pair_id, {Q(f.name)} AS finding, {_seen(f.presence)} AS presence, {_seen(f.correctness)} AS correctness, {_seen(f.attenuation)} AS attenuation FROM pairs" for f in FINDINGS),

@@ -11,7 +11,7 @@ from fidelis.functions.readability import readability
 from fidelis.functions.text import strip_markdown_col
 from fidelis.operators.checklist import with_summary
 from fidelis.operators.entities import canonicals, entity_recall
-from fidelis.operators.sentences import with_support
+from fidelis.operators.sentences import at_threshold, with_support
 from fidelis.rules import Finding, Term
 from fidelis.rules.knee import STOP_WORDS
 
@@ -32,6 +32,8 @@ def measure_pairs(pairs: DataFrame, rules: list[Finding], lexicon: list[Term], s
     """What the layers measure of ``pairs(pair_id, original_text, humanized_text)``, one narrow row a pair.
 
     All layers are worked out within the row: ``pairs`` is read once and nothing is shuffled. Null texts count as empty.
+    ``support_scores`` lets ``decide`` count supported sentences at any threshold; ``score_threshold`` is that of the
+    counts returned here.
     """
     plain = lambda c: strip_markdown_col(F.coalesce(F.col(c), F.lit("")))
     rows = pairs.select("pair_id", plain("original_text").alias("original_text"), plain("humanized_text").alias("text"))
@@ -42,11 +44,17 @@ def measure_pairs(pairs: DataFrame, rules: list[Finding], lexicon: list[Term], s
     return rows.select(
         "pair_id", "overall_pass", "n_findings", "n_mentioned", "n_correct", "n_attenuated", "n_omitted", "n_wrong_severity", "coverage_pct",
         "recall", "omitted", "added", "szigriszt_pazos", "inflesz_category", "meets_healthcare_target",
-        "n_sentences", "n_assessed", "n_entailed", "n_unsupported", "entailment_rate")
+        "n_sentences", "n_assessed", "n_entailed", "n_unsupported", "entailment_rate", "support_scores")
 
 
 def decide(measures: DataFrame, t: Thresholds = Thresholds(), contradictions: DataFrame | None = None, judge: DataFrame | None = None) -> DataFrame:
-    """Votes and decision. A judge's report goes before contradictions, those before entailment, where a pair has them."""
+    """Votes and decision. A judge's report goes before contradictions, those before entailment, where a pair has them.
+
+    Supported sentences are counted anew at the profile's score threshold from ``support_scores``; measures without that
+    column are taken to have been counted at that threshold.
+    """
+    if "support_scores" in measures.columns:
+        measures = at_threshold(measures, t.nli_score_threshold).drop("support_scores")
     out = measures.withColumns({"rate": F.col("entailment_rate"), "unsupported": F.col("n_unsupported")})
     mode, passed = F.lit("entailment"), (F.col("entailment_rate") >= t.nli_min_entailment_rate) & (F.col("n_unsupported") <= t.nli_max_hallucinations)
     if contradictions is not None:
@@ -90,7 +98,12 @@ def route(verdicts: DataFrame, require_approve: bool = False) -> tuple[DataFrame
 
 
 def sweep_thresholds(measures: DataFrame, profiles: dict[str, Thresholds]) -> DataFrame:
-    """The same measures decided under each named profile: a row's measures are copied per profile, so measured once."""
+    """The same measures decided under each named profile: a row's measures are copied per profile, so measured once.
+
+    Profiles may differ in any threshold. Those that differ in the score threshold need the measures' ``support_scores``.
+    """
+    if "support_scores" not in measures.columns and len({t.nli_score_threshold for t in profiles.values()}) > 1:
+        raise ValueError("profiles with several score thresholds need measures with support_scores")
     named = [F.struct(F.lit(name).alias("profile"), *[F.lit(v).alias(k) for k, v in asdict(t).items()]) for name, t in profiles.items()]
     each = measures.withColumn("__t", F.explode(F.array(*named)))
     out = decide(each, Thresholds(**{f.name: F.col(f"__t.{f.name}") for f in fields(Thresholds)}))

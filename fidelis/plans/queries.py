@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.functions.readability import BANDS, EASIEST, VOWELS, compare_readability, readability
+from fidelis.functions.readability import BANDS, EASIEST, OPENING, VOWELS, compare_readability, readability
 from fidelis.functions.text import MARKDOWN, content_words, n_words, normalize_surface, sentence_rows, strip_markdown_col
 from fidelis.operators import checklist, delivery, entities, judge, sentences
 from fidelis.plans import gate
@@ -39,7 +39,11 @@ FINDINGS = [
 ]
 TERMS = ["the", "Of", "que", "und", "ation"]
 T = gate.Thresholds(nli_score_threshold=0.10)
-PROFILES = {"belt": T, "strict": gate.Thresholds(nli_min_entailment_rate=0.50, nli_max_hallucinations=4), "loose": gate.Thresholds(ner_min_recall=0.3, nli_min_entailment_rate=0.05)}
+# The lexical and semantic profile ask for scores of 0.30 and 0.50, a rate of 0.50, and 16 or 4 unsupported at most.
+PROFILES = {
+    "belt": T, "lexical": gate.Thresholds(nli_min_entailment_rate=0.50), "semantic": gate.Thresholds(nli_min_entailment_rate=0.50, nli_max_hallucinations=4, nli_score_threshold=0.50),
+    "loose": gate.Thresholds(ner_min_recall=0.3, nli_min_entailment_rate=0.05), "loose at 0.50": gate.Thresholds(ner_min_recall=0.3, nli_min_entailment_rate=0.05, nli_score_threshold=0.50),
+}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,13 +83,15 @@ def b3_content_words(spark, sf_dir):
 
 
 def b4_normalize_surface(spark, sf_dir):
+    d, c = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "conversations")
+    rows = d.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text").unionAll(c.select(F.lit("c"), F.col("conv_id") * 1000 + F.col("turn"), "text"))
     s = normalize_surface(F.col("text"))
-    return _t(spark, sf_dir, "benchmark").select("item_id", s.alias("surface"))
+    return rows.select("kind", "id", F.length(s).cast("long").alias("n_chars"), F.md5(s.cast("binary")).alias("digest"))
 
 
 READ = [
     "n_chars_no_space", "n_words", "n_sentences", "n_syllables", "avg_words_per_sentence", "avg_syllables_per_word", "szigriszt_pazos", "fernandez_huerta",
-    "crawford_school_years", "flesch_kincaid_grade", "inflesz_category", "meets_healthcare_target",
+    "gutierrez_polini", "crawford_school_years", "flesch_kincaid_grade", "inflesz_category", "meets_healthcare_target",
 ]
 
 
@@ -117,15 +123,22 @@ def d8_finding_profile(spark, sf_dir):
     return s.select("finding", "n_findings", "n_mentioned", "n_correct", "n_attenuated", "n_omitted", "n_wrong_severity")
 
 
+def d8_levels(spark, sf_dir):
+    s = checklist.checklist_levels(checklist.check_findings(pairs(spark, sf_dir), FINDINGS, "pair_id", "humanized_text"))
+    return s.select("level", "pair_id", "finding", "n_findings", "n_mentioned", "n_correct", "n_attenuated", "n_omitted", "n_wrong_severity")
+
+
 def d9_key_terms(spark, sf_dir):
     k = checklist.key_term_preservation(pairs(spark, sf_dir), TERMS)
     return k.select("pair_id", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"))
 
 
+MENTIONS = [Term("tion", "HALLAZGO", ["tion", "ation"]), Term("the", "ANATOMIA", ["the"]), Term("and", "SEVERIDAD", [r"\band\b", "an[dt]"]), Term("ther", "ANATOMIA", ["ther"])]
+
+
 def e1_mentions(spark, sf_dir):
-    simple = [Term("tion", "HALLAZGO", ["tion"]), Term("the", "ANATOMIA", ["the"])]
-    m = entities.extract_entities(_t(spark, sf_dir, "documents"), simple, "doc_id")
-    return m.groupBy("canonical", "entity_type", "surface").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+    """Every mention with its place: phrases with and without word boundaries, a pattern, overlaps."""
+    return entities.extract_entities(_t(spark, sf_dir, "documents"), MENTIONS, "doc_id").select("doc_id", "canonical", "entity_type", "surface", "start", "end")
 
 
 def e4_entity_recall(spark, sf_dir):
@@ -197,7 +210,7 @@ def h3_route(spark, sf_dir):
 
 def h4_sweep(spark, sf_dir):
     s = gate.sweep_thresholds(measures(spark, sf_dir), PROFILES)
-    return s.groupBy("profile", "decision").agg(F.count("*").alias("n"))
+    return s.groupBy("profile", "decision").agg(F.count("*").alias("n"), F.sum("n_entailed").alias("n_entailed"), F.sum("n_unsupported").alias("n_unsupported"))
 
 
 def h6_expected(spark, sf_dir):
@@ -231,7 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         b1_strip_markdown, b2_sentences, b3_content_words, b4_normalize_surface, c1_readability, c3_compare_readability, d1_check_findings,
-        d5_checklist_summary, d8_finding_profile, d9_key_terms, e1_mentions, e4_entity_recall, e5_recall_by_type, f3_sentence_scores, f4_entailment_report,
+        d5_checklist_summary, d8_finding_profile, d8_levels, d9_key_terms, e1_mentions, e4_entity_recall, e5_recall_by_type, f3_sentence_scores, f4_entailment_report,
         f6_contradictions, g4_judge_report, h1_gate, h3_route, h4_sweep, h6_expected, a3_manifest, i1_delivery, i3_constraints,
     )
 }
@@ -289,17 +302,22 @@ def _measured() -> str:
  meas AS (SELECT pair_id, n_omitted = 0 AND n_attenuated = 0 AND n_wrong_severity = 0 AS c, recall, rate, n_unsupported AS u FROM sums JOIN rec USING (pair_id) JOIN entail USING (pair_id))"""
 
 
-def _voted(t: gate.Thresholds, source: str = "meas") -> str:
+def _voted(t: gate.Thresholds) -> str:
+    """Votes under a profile, whose score threshold decides which of the scored sentences count as supported."""
+    counts = f"count(*) FILTER (x.score IS NOT NULL) AS a, count(*) FILTER (x.score >= {t.nli_score_threshold}) AS e"
+    scores = "(SELECT pair_id, score FROM v WHERE r IS NULL)"
+    source = f"""(SELECT m.*, coalesce(a, 0) AS n_assessed, coalesce(e, 0) AS n_entailed, coalesce(a - e, 0) AS u, CASE WHEN coalesce(a, 0) = 0 THEN 1.0 ELSE e / a END AS rate
+ FROM (SELECT pair_id, c, recall FROM meas) m LEFT JOIN (SELECT pair_id, {counts} FROM {scores} x GROUP BY pair_id) USING (pair_id))"""
     return f"""(SELECT *, c::INT + n::INT + l::INT AS votes, CASE c::INT + n::INT + l::INT WHEN 3 THEN 'APPROVE' WHEN 2 THEN 'REVIEW' ELSE 'REJECT' END AS decision
- FROM (SELECT pair_id, c, recall >= {t.ner_min_recall} AS n, rate >= {t.nli_min_entailment_rate} AND u <= {t.nli_max_hallucinations} AS l FROM {source}))"""
+ FROM (SELECT pair_id, c, n_entailed, u, recall >= {t.ner_min_recall} AS n, rate >= {t.nli_min_entailment_rate} AND u <= {t.nli_max_hallucinations} AS l FROM {source}))"""
 
 
 BARE = r"trim(regexp_replace(regexp_replace({0}, '[^\p{{L}}\p{{N}}_\s]+', '', 'g'), '\s+', ' ', 'g'))"
 NWORDS = f"(CASE WHEN {BARE} = '' THEN 0 ELSE len(string_split({BARE}, ' ')) END)"
 CONSONANTS = "b-df-hj-np-tv-zB-DF-HJ-NP-TV-ZñÑçÇß"
 MEASURED = (
-    "SELECT *, " + NWORDS.format("t") + " AS w, greatest(1, len(list_filter(regexp_extract_all(t, '[^.!?]+[.!?]*'), lambda r: " + NWORDS.format("r") + " > 2))) AS s, "
-    + f"len(regexp_extract_all(t, '[{VOWELS}]+')) - len(regexp_extract_all(t, '(?:^|[^\\p{{L}}\\p{{N}}_])[{VOWELS}][{CONSONANTS}][{VOWELS}]'))"
+    "SELECT *, length(regexp_replace(t, '[^\\p{L}\\p{N}\\p{M}_]+', '', 'g')) AS l, " + NWORDS.format("t") + " AS w, greatest(1, len(list_filter(regexp_extract_all(t, '[^.!?]+[.!?]*'), lambda r: " + NWORDS.format("r") + " > 2))) AS s, "
+    + f"len(regexp_extract_all(t, '[{VOWELS}]+')) - len(regexp_extract_all(t, '(?:^|[^\\p{{L}}\\p{{N}}_])[{VOWELS}](?:(?i:{OPENING})|[{CONSONANTS}])[{VOWELS}]'))"
     + " + len(list_filter(string_split(" + BARE.format("t") + f", ' '), lambda x: x <> '' AND NOT regexp_matches(x, '[{VOWELS}]'))) AS y"
 )
 SP = "(CASE WHEN w > 0 THEN 206.835 - 62.3 * (y::DOUBLE / w) - w::DOUBLE / s ELSE 0 END)"
@@ -326,18 +344,19 @@ ORACLE_SQL: dict[str, str] = {
     "b1_strip_markdown": f"SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, {_markdown()} AS s FROM documents)",
     "b2_sentences": f"SELECT doc_id, count(*) AS n_sentences, sum(length(trim(s)))::BIGINT AS n_chars, max(trim(s)) AS last_sorted FROM (SELECT doc_id, unnest({SENTS.format('text')}) AS s FROM documents) GROUP BY doc_id",
     "b3_content_words": f"SELECT conv_id, turn, len(w) AS n, array_to_string(list_sort(w), ' ') AS words FROM (SELECT conv_id, turn, {WORDS.format('text')} AS w FROM conversations)",
-    "b4_normalize_surface": "SELECT item_id, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')) AS surface FROM benchmark",
-    "c1_readability": f"SELECT doc_id, length(regexp_replace(t, '\\s+', '', 'g')) AS n_chars_no_space, {ROUNDED.format('w::DOUBLE / s', 100)} AS avg_words_per_sentence, {ROUNDED.format('y::DOUBLE / w', 1000)} AS avg_syllables_per_word, {ROUNDED.format('-0.205 * (100 * s::DOUBLE / w) + 0.049 * (100 * y::DOUBLE / w) - 3.407', 100)} AS crawford_school_years, w AS n_words, s AS n_sentences, y AS n_syllables, floor({SP} * 100 + 0.5) / 100.0 AS szigriszt_pazos, floor((CASE WHEN w > 0 THEN 206.84 - 60 * (y::DOUBLE / w) - 1.02 * (w::DOUBLE / s) ELSE 0 END) * 100 + 0.5) / 100.0 AS fernandez_huerta, floor({FK} * 100 + 0.5) / 100.0 AS flesch_kincaid_grade, {BAND} AS inflesz_category, {SP} >= 55 AS meets_healthcare_target FROM ({MEASURED} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
+    "b4_normalize_surface": "SELECT kind, id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT kind, id, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g'), ' ') AS s FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'c', conv_id * 1000 + turn, text FROM conversations))",
+    "c1_readability": f"SELECT doc_id, length(regexp_replace(t, '\\s+', '', 'g')) AS n_chars_no_space, {ROUNDED.format('w::DOUBLE / s', 100)} AS avg_words_per_sentence, {ROUNDED.format('y::DOUBLE / w', 1000)} AS avg_syllables_per_word, {ROUNDED.format('-0.205 * (100 * s::DOUBLE / w) + 0.049 * (100 * y::DOUBLE / w) - 3.407', 100)} AS crawford_school_years, w AS n_words, s AS n_sentences, y AS n_syllables, floor({SP} * 100 + 0.5) / 100.0 AS szigriszt_pazos, floor((CASE WHEN w > 0 THEN 206.84 - 60 * (y::DOUBLE / w) - 1.02 * (w::DOUBLE / s) ELSE 0 END) * 100 + 0.5) / 100.0 AS fernandez_huerta, floor({FK} * 100 + 0.5) / 100.0 AS flesch_kincaid_grade, {ROUNDED.format('95.2 - 9.7 * (l::DOUBLE / w) - 0.35 * (w::DOUBLE / s)', 100)} AS gutierrez_polini, {BAND} AS inflesz_category, {SP} >= 55 AS meets_healthcare_target FROM ({MEASURED} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
     "c3_compare_readability": f"WITH {PAIRS}, sc AS (SELECT pair_id, k, {SP} AS sp, {', '.join(f'{x} AS {n}' for n, x in SCORES.items())} FROM ({MEASURED} FROM (SELECT pair_id, 'o' AS k, o AS t FROM pairs UNION ALL SELECT pair_id, 'h', h FROM pairs))) SELECT a.pair_id, "
     + ", ".join(f"round({'b' if n in EASE else 'a'}.{n} - {'a' if n in EASE else 'b'}.{n}, {3 if n.endswith('spw') else 2}) AS {n}" for n in SCORES)
     + ", a.sp >= 55 AS original_meets_target, b.sp >= 55 AS humanized_meets_target FROM sc a JOIN sc b ON a.pair_id = b.pair_id AND a.k = 'o' AND b.k = 'h'",
     "d1_check_findings": f"WITH {_checks()} SELECT pair_id, finding, m AS mentioned, p AS severity_preserved, a AS attenuation_detected, CASE WHEN a THEN {Q(STATUS['attenuated'])} WHEN NOT m THEN {Q(STATUS['omitted'])} WHEN NOT p THEN {Q(STATUS['wrong_severity'])} ELSE {Q(STATUS['ok'])} END AS status FROM checks",
     "d5_checklist_summary": f"WITH {_checks()} SELECT *, n_omitted = 0 AND n_attenuated = 0 AND n_wrong_severity = 0 AS overall_pass FROM (SELECT pair_id, {COUNTS} FROM checks GROUP BY pair_id)",
     "d8_finding_profile": f"WITH {_checks()} SELECT finding, {COUNTS} FROM checks GROUP BY finding",
+    "d8_levels": f"WITH {_checks()} SELECT CASE WHEN grouping(pair_id) = 0 THEN 'report' WHEN grouping(finding) = 0 THEN 'finding' ELSE 'all' END AS level, pair_id, finding, {COUNTS} FROM checks GROUP BY GROUPING SETS ((pair_id), (finding), ())",
     "d9_key_terms": f"WITH {PAIRS}, k AS (SELECT pair_id, h, list_filter([{', '.join(map(Q, TERMS))}], lambda x: contains(lower(o), lower(x))) AS t FROM pairs) SELECT pair_id, array_to_string(list_filter(t, lambda x: contains(lower(h), lower(x))), ',') AS present, array_to_string(list_filter(t, lambda x: NOT contains(lower(h), lower(x))), ',') AS missing FROM k",
-    "e1_mentions": "SELECT canonical, entity_type, surface, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(a)::BIGINT AS starts, sum(a + length(canonical))::BIGINT AS ends FROM (" + " UNION ALL ".join(
-        f"SELECT doc_id, {Q(c)} AS canonical, {Q(e)} AS entity_type, found[i] AS surface, list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * {len(c)} AS a FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i"
-        f" FROM (SELECT doc_id, regexp_extract_all(text, {Q('(?i)' + c)}) AS found, string_split_regex(text, {Q('(?i)' + c)}) AS parts FROM documents))" for c, e in (("tion", "HALLAZGO"), ("the", "ANATOMIA"))) + ") GROUP BY ALL",
+    "e1_mentions": "SELECT doc_id, canonical, entity_type, surface, (stop - length(surface))::INT AS start, stop::INT AS end FROM (" + " UNION ALL ".join(
+        f"SELECT doc_id, {Q(t.canonical)} AS canonical, {Q(t.entity_type)} AS entity_type, found[i] AS surface, length(array_to_string(parts[1:i], '')) + length(array_to_string(found[1:i], '')) AS stop FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i"
+        f" FROM (SELECT doc_id, regexp_extract_all(text, {Q('(?i)' + p)}) AS found, string_split_regex(text, {Q('(?i)' + p)}) AS parts FROM documents))" for t in MENTIONS for p in t.patterns) + ")",
     "e4_entity_recall": f"WITH {PAIRS}, {RECALL_CTE} SELECT pair_id, round(recall, 4) AS recall, array_to_string(list_sort(list_filter(oe, lambda x: list_contains(he, x))), ',') AS preserved, array_to_string(list_sort(list_filter(oe, lambda x: NOT list_contains(he, x))), ',') AS omitted, array_to_string(list_sort(list_filter(he, lambda x: NOT list_contains(oe, x))), ',') AS added FROM rec",
     "e5_recall_by_type": f"WITH {PAIRS}, kinds(c, entity_type) AS (VALUES {', '.join(f'({Q(t.canonical)}, {Q(t.entity_type)})' for t in LEXICON)}), {RECALL_CTE}, x AS (SELECT pair_id, c, list_contains(oe, c) AS o, list_contains(he, c) AS h, entity_type FROM rec, kinds WHERE list_contains(oe, c) OR list_contains(he, c)) SELECT pair_id, entity_type, count(*) FILTER (o) AS n_original, count(*) FILTER (h) AS n_humanized, count(*) FILTER (o AND h) AS n_preserved, round(CASE WHEN count(*) FILTER (o) = 0 THEN 1.0 ELSE count(*) FILTER (o AND h) / count(*) FILTER (o) END, 4) AS recall, coalesce(string_agg(c, ',' ORDER BY c) FILTER (o AND NOT h), '') AS omitted FROM x GROUP BY ALL",
     "f3_sentence_scores": f"WITH {VERDICT_CTE} SELECT pair_id, round(sum(score), 4) AS total, count(*) FILTER (r = 'short') AS n_short, count(*) FILTER (r = 'plain') AS n_plain FROM v GROUP BY pair_id",
@@ -348,7 +367,7 @@ ORACLE_SQL: dict[str, str] = {
     + " FROM v GROUP BY doc_id) SELECT doc_id::VARCHAR AS pair_id, c.* EXCLUDE (doc_id), CASE WHEN n_omitted + n_attenuated + n_hallucinated + n_parse_error > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, n_chars AS input_tokens, n_chars % 50 AS output_tokens FROM c JOIN d USING (doc_id)",
     "h1_gate": f"{_measured()} SELECT pair_id, c AS checklist_passed, n AS ner_passed, l AS nli_passed, votes::BIGINT AS votes, decision FROM {_voted(T)}",
     "h3_route": f"{_measured()} SELECT CASE WHEN decision = 'REJECT' THEN 'blocked' ELSE 'accepted' END AS routed, decision, count(*) AS n FROM {_voted(T)} GROUP BY ALL",
-    "h4_sweep": _measured() + " " + " UNION ALL ".join(f"SELECT {Q(k)} AS profile, decision, count(*) AS n FROM {_voted(t)} GROUP BY ALL" for k, t in PROFILES.items()),
+    "h4_sweep": _measured() + " " + " UNION ALL ".join(f"SELECT {Q(k)} AS profile, decision, count(*) AS n, sum(n_entailed)::BIGINT AS n_entailed, sum(u)::BIGINT AS n_unsupported FROM {_voted(t)} GROUP BY ALL" for k, t in PROFILES.items()),
     "h6_expected": "SELECT expected, CASE WHEN expected IS NULL THEN n >= 1 ELSE n = expected END AS ok, count(*) AS n FROM (SELECT CASE WHEN quality = 1 THEN 0 END AS expected, len(regexp_extract_all(text, '!!')) AS n FROM documents JOIN labels USING (doc_id)) GROUP BY ALL",
     "a3_manifest": "SELECT o_orderkey AS study_id, greatest(1, floor(b / 524288))::BIGINT AS n_instances, 'folder-' || o_custkey AS folder_id, 'informe_' || lower(o_orderstatus) || '.pdf' AS filename, b AS size_bytes FROM (SELECT *, floor(o_totalprice * 100)::BIGINT AS b FROM orders)",
     "i1_delivery": "SELECT o_orderkey AS study_id, coalesce(r, '') AS report_ids, strftime(o_orderdate + INTERVAL 168 HOUR, '%Y-%m-%d') AS expires_on, CASE WHEN r IS NULL THEN 'no report' END AS error FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT l_orderkey || '/' || lpad(l_linenumber::VARCHAR, 3, '0'), ',' ORDER BY l_orderkey || '/' || lpad(l_linenumber::VARCHAR, 3, '0')) AS r FROM lineitem WHERE l_linenumber = 1 OR l_quantity > 25 GROUP BY 1) ON l_orderkey = o_orderkey",
