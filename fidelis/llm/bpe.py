@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.llm.common import kept
+
 #: Words in a trie at once, encodings remembered in a worker, texts whose new words are gathered first.
 TRIE_WORDS, MEMO_WORDS, BATCH_TEXTS = 10_000, 250_000, 128
 #: The split of byte-level BPE (public; the same for every vocabulary of this family).
@@ -36,9 +38,13 @@ def _byte_letters() -> dict[str, int]:
 
 
 def read_vocabulary(path: str) -> dict:
-    """Vocabulary, merges and special tokens of a byte-level BPE file, as plain data for a broadcast (50,000 entries)."""
+    """Vocabulary, merges and special tokens of a byte-level BPE file."""
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+        return parsed(f.read(), path)
+
+
+def parsed(source: str, path: str = "vocabulary") -> dict:
+    spec = json.loads(source)
     pre = spec["pre_tokenizer"]
     if spec["model"]["type"] != "BPE" or spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"]:
         raise ValueError(f"{path}: only byte-level BPE without a normalizer or a prefix space is supported")
@@ -47,6 +53,13 @@ def read_vocabulary(path: str) -> dict:
     return {"vocab": spec["model"]["vocab"], "merges": merges, "special": special}
 
 
+def _sent(df: DataFrame, path: str):
+    """The file's text as a broadcast (50,257 entries, 2 MB): workers keep the tables built from it, not its objects."""
+    read_vocabulary(path)
+    with open(path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
 class Coder:
     """Encodes and decodes in one worker."""
 
@@ -174,14 +187,8 @@ class Coder:
         return b"".join(map(self.bytes_of.__getitem__, found)).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, Coder] = {}
-
-
-def _coder(key: str, spec) -> Coder:
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(spec.value)
-    return _CODERS[key]
+def _coder(key: str, source) -> Coder:
+    return kept(("tokens", key), lambda: Coder(parsed(source.value)))
 
 
 def _encoded(coder: Coder, texts: list[str]) -> list[bytes]:
@@ -194,11 +201,11 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "t
     A null or empty text has no tokens (an empty binary). Special tokens inside a text count as such, none is added.
     Repeated rows stay; a column already named ``ids`` is replaced; an empty table gives an empty table.
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path))
+    source = _sent(df, tokenizer_path)
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(tokenizer_path, spec)
+        coder = _coder(tokenizer_path, source)
         for batch in batches:
             yield pd.Series(_encoded(coder, batch.fillna("").tolist()), dtype=object)
 
@@ -207,11 +214,11 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "t
 
 def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids", back: str = "decoded") -> DataFrame:
     """``encode`` and ``decode`` in one pass, so that a worker holds one set of tables; null texts count as empty."""
-    spec = df.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path))
+    source = _sent(df, tokenizer_path)
 
     @F.pandas_udf("ids binary, back string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = _coder(tokenizer_path, spec)
+        coder = _coder(tokenizer_path, source)
         for batch in batches:
             found = _encoded(coder, batch.fillna("").tolist())
             yield pd.DataFrame({"ids": found, "back": list(map(coder.decode, found))}, dtype=object)
@@ -226,11 +233,11 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", text: str
     Empty ids give an empty text. Repeated rows stay; a column already named ``text`` is replaced; an empty table gives
     an empty table.
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path))
+    source = _sent(df, tokenizer_path)
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(tokenizer_path, spec)
+        coder = _coder(tokenizer_path, source)
         for batch in batches:
             yield batch.map(lambda b: None if b is None else coder.decode(b)).astype(object)
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space. ``bytes.split()`` cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Files that any table may have, and rows of a narrow table that are worth a file of their own beyond that.
+FEW_FILES, FILE_ROWS = 8, 50_000
 #: Most keys that ``join_skewed`` broadcasts; bytes of a batch of texts.
 HOT_KEYS, BATCH_BYTES = 1_000, 4_000_000
 
@@ -32,12 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives the loss of any executor.
 
-    The folder goes when the driver's JVM ends, as the returned table may be read until then.
+    If ``df`` is narrow and known to have about ``rows`` rows, the tasks that write it have ``FILE_ROWS`` or more to
+    write each, so that a small table isn't as many files as a shuffle has partitions. The folder goes when the driver's
+    JVM ends, as the returned table may be read until then.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(FEW_FILES, rows // FILE_ROWS))
     path = f"{shared_dir(spark)}/fidelis-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,6 +66,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, ours)
 
 
+_KEPT: dict[object, object] = {}
+
+
+def let_go() -> None:
+    """Frees in a worker what ``kept`` holds, and what Arrow holds for later: workers outlive the stages of an operator."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` builds for ``key``, kept in a worker between tasks until another is asked for, or ``let_go``."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def bounded(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
     """``df`` to be broadcast if its rows (or the sum of ``weight`` over them) are counted to be ``most`` at most."""
     size = df.limit(most + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0

@@ -64,7 +64,7 @@ def failing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     judged = written(_judged(docs), "judged")
     copies = judged.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    known = join_skewed(judged, written(copies, "copies"), ["digest"], "n", "left")
+    known = join_skewed(judged, written(copies, "copies", judged.count()), ["digest"], "n", "left")
     copied = F.coalesce((F.col("doc_id") > F.col("first")).cast("int"), F.lit(0))
     bits = F.col("bits").bitwiseOR(F.shiftleft(copied, 4))
     counted = known.select("part", "doc_id", bits.alias("bits")).groupBy("part", "doc_id", "bits").agg(F.count("*").alias("times"))

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.llm.common import kept
+
 #: Dimensions, letters in an n-gram, n-gram vectors remembered in a worker (as bytes: 64 MB).
 DIMENSIONS, ORDER, REMEMBERED = 1024, 3, 65_536
 #: Languages whose prototypes are held in a worker (as doubles: 32 MB).
@@ -80,13 +82,8 @@ class Space:
         return out
 
 
-_SPACE: list[Space] = []
-
-
 def _space() -> Space:
-    if not _SPACE:
-        _SPACE.append(Space())
-    return _SPACE[0]
+    return kept("letters", Space)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
@@ -122,9 +119,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     counts. Columns with these names are replaced; rows repeat as they do in ``docs``; an empty table gives an empty one.
     """
     names = sorted(prototypes)
-    kept = np.stack([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1) for n in names]) if names else np.zeros((0, DIMENSIONS))
-    mean = kept.mean(axis=0) if len(names) > 1 else np.zeros(DIMENSIONS)
-    sides = kept - mean
+    units = np.stack([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1) for n in names]) if names else np.zeros((0, DIMENSIONS))
+    mean = units.mean(axis=0) if len(names) > 1 else np.zeros(DIMENSIONS)
+    sides = units - mean
     sides /= np.maximum(np.linalg.norm(sides, axis=1, keepdims=True), 1e-12)
 
     @F.pandas_udf("lang_pred string, score double, similarity double")
@@ -141,7 +138,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 cosines = sides @ (own / (np.linalg.norm(own) or 1))
                 best = int(cosines.argmax())
                 shares = np.exp((cosines - cosines[best]) / TEMPERATURE)
-                out.append((names[best], float(1 / shares.sum()), float(kept[best] @ unit)))
+                out.append((names[best], float(1 / shares.sum()), float(units[best] @ unit)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "similarity"])
 
     # Marked as not deterministic so that a filter on the result doesn't make Spark run it a second time.

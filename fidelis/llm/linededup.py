@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import join_skewed, written
+from fidelis.llm.common import join_skewed, let_go, written
 
 #: Leading tokens that lines of a leaf share; templates in a leaf from which they are indexed; rows of digests of lines
 #: to compare, of lines with another line's template, and of recurring templates up to which these are broadcast.
@@ -64,6 +64,7 @@ def _marks(docs: DataFrame) -> DataFrame:
     """The lines with a token: where they are, the digest of their tokens, and their leaf."""
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             out = []
             for unnamed, doc, row, text in batch[["unnamed", "id", "row", "text"]].itertuples(index=False):
@@ -219,15 +220,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8) ->
     be of any length, and a leaf may hold any number of them. An empty table gives an empty table.
     """
     marks = written(_marks(docs.select("doc_id", "text")), "lines")
-    digests = written(marks.groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.count("*").alias("n")), "digests")
-    shared = written(_leaves(digests), "leaves")
+    rows = marks.count()
+    digests = written(marks.groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.count("*").alias("n")), "digests", rows)
+    shared = written(_leaves(digests), "leaves", rows)
     small = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     compared = _lines(docs.select("doc_id", "text")).join(F.broadcast(shared) if small else shared, ["h1", "h2"])
     moved = written(_templates(compared.dropDuplicates(["leaf", "h1", "h2"]), similarity), "templates")
-    moved = written(moved.join(digests.select("h1", "h2", "n"), ["h1", "h2"]), "moved")
+    moved = written(moved.join(digests.select("h1", "h2", "n"), ["h1", "h2"]), "moved", rows)
     found = join_skewed(marks.drop("leaf"), moved, ["h1", "h2"], "n", "left", BROADCAST_ROWS)
     found = found.select("unnamed", "id", "row", "at", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
-    recurring = written(_recurring(found, min_docs), "recurring")
+    recurring = written(_recurring(found, min_docs), "recurring", rows)
     drop = join_skewed(found, recurring, ["t1", "t2"], "n", broadcast_rows=BROADCAST_ROWS).filter("unnamed <> first_unnamed or id <> first_id")
     drop = drop.groupBy("unnamed", "id", "row").agg(F.collect_set("at").alias("__gone"))
     drop = drop.select(F.col("unnamed").alias("__unnamed"), F.col("id").alias("__id"), F.col("row").alias("__row"), "__gone")

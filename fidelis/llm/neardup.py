@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import bounded, join_skewed, written
+from fidelis.llm.common import bounded, join_skewed, let_go, written
 from fidelis.llm.components import components
 
 #: Classes and bytes of sets in a block; meetings up to which the classes' texts aren't shuffled to fetch them.
@@ -71,6 +71,7 @@ def needed(coordinates: int, threshold: float, miss: float) -> int:
 
 def _signed(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         by = factors(coordinates)
         place = np.arange(coordinates, dtype=np.int64) << 32
         for batch in batches:
@@ -100,12 +101,12 @@ def _blocks(n: str, size: str) -> Column:
     return F.ceil(F.greatest(F.col(n) / BLOCK_ROWS, F.col(size) / BLOCK_BYTES)).cast("int")
 
 
-def _members(groups: DataFrame, classes: DataFrame) -> DataFrame:
+def _members(groups: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
     """``(head, doc_id, bytes, first, blocks, own)``: a class in a group, the group's first class and blocks, and its own block."""
     each = groups.select("doc_id", F.explode("groups").alias("head")).join(classes.select("doc_id", (F.col("n_shingles") * 8).alias("bytes")), "doc_id")
-    each = written(each, "members")
+    each = written(each, "members", rows)
     sizes = each.groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("sum"), F.min("doc_id").alias("first")).filter("n > 1")
-    sizes = written(sizes.select("head", "n", "first", _blocks("n", "sum").alias("blocks")), "sizes")
+    sizes = written(sizes.select("head", "n", "first", _blocks("n", "sum").alias("blocks")), "sizes", rows)
     placed = join_skewed(each, sizes, ["head"], "n")
     return placed.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int"))
 
@@ -122,7 +123,7 @@ def _within(members: DataFrame) -> DataFrame:
     )
 
 
-def _between(members: DataFrame, found: DataFrame) -> DataFrame | None:
+def _between(members: DataFrame, found: DataFrame, n_rows: int) -> DataFrame | None:
     """``(doc_id, meets)`` of what is left between the blocks of a group once ``found(node, component)`` is known.
 
     Classes connected to their group's first one need not meet each other again. The rest is dealt into blocks of its
@@ -131,11 +132,11 @@ def _between(members: DataFrame, found: DataFrame) -> DataFrame | None:
     found = found.select(F.col("node"), F.col("component"))
     split = members.filter("blocks > 1")
     part = split.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    part = written(part.drop("component"), "parts")
+    part = written(part.drop("component"), "parts", n_rows)
     lead = part.filter("doc_id = first").select("head", F.col("part").alias("lead"))
     loose = part.join(bounded(lead, BROADCAST_MEETS), "head").withColumn("rest", F.col("part") != F.col("lead"))
     sizes = loose.filter("rest").groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("sum"))
-    sizes = written(sizes.select("head", _blocks("n", "sum").alias("loose")), "rest")
+    sizes = written(sizes.select("head", _blocks("n", "sum").alias("loose")), "rest", n_rows)
     if sizes.isEmpty():
         return None
     dealt = loose.join(bounded(sizes, BROADCAST_MEETS), "head").withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(11)), "loose").cast("int"))
@@ -152,6 +153,7 @@ def _linked(met: DataFrame, size: int, coordinates: int, need: int, percent: int
     """Links ``(a, b)`` between classes that meet: ``met(doc_id, text, meets)``."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         columns = ["doc_id", "head", "row", "col", "own", "part", "data"]
         for batch in batches:
             rows, held = [], 0
@@ -167,6 +169,7 @@ def _linked(met: DataFrame, size: int, coordinates: int, need: int, percent: int
                 yield pd.DataFrame(rows, columns=columns)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         by, key, held = factors(coordinates), None, []
         for batch in batches:
             out = []
@@ -231,26 +234,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     need = needed(coordinates, percent / 100, miss)
     docs = docs.select("doc_id", "text")
     signed = written(_signed(docs, size, coordinates), "signatures")
+    rows = signed.count()
     named = signed.filter("doc_id is not null and digest is not null")
-    sets = written(named.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")), "sets")
+    sets = written(named.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")), "sets", rows)
     classes = named.join(sets.select("digest", F.col("class").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"])
-    classes = written(classes.select("doc_id", "n_shingles", "posts"), "classes")
-    groups = written(_grouped(classes, coordinates, need), "groups")
-    inside = written(_members(groups, classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))), "inside")
+    classes = written(classes.select("doc_id", "n_shingles", "posts"), "classes", rows)
+    groups = written(_grouped(classes, coordinates, need), "groups", rows)
+    inside = written(_members(groups, classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), rows), "inside", rows)
 
     def linked(meets: DataFrame) -> DataFrame:
-        meets = bounded(written(meets, "meets"), BROADCAST_MEETS, F.size("meets"))
+        meets = bounded(written(meets, "meets", rows), BROADCAST_MEETS, F.size("meets"))
         return _linked(docs.join(meets, "doc_id"), size, coordinates, need, percent)
 
     # A document is where its class is, so copies don't take part in the components, but for ids with several texts.
-    members = written(join_skewed(named.select("doc_id", "digest"), sets, ["digest"], "n").select("doc_id", "class").distinct(), "members")
+    members = written(join_skewed(named.select("doc_id", "digest"), sets, ["digest"], "n").select("doc_id", "class").distinct(), "members", rows)
     several = members.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
     across = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     sizes = members.groupBy("class").agg(F.count("*").alias("n"))
-    connected = components(linked(_within(inside)).unionAll(across))
-    if (left := _between(inside, connected)) is not None:
-        connected = components(linked(left).unionAll(connected.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    found = written(connected.withColumnRenamed("node", "class").join(sizes, "class"), "found")
+    connected = components(linked(_within(inside)).unionAll(across), rows)
+    if (left := _between(inside, connected, rows)) is not None:
+        connected = components(linked(left).unionAll(connected.select(F.col("node").alias("a"), F.col("component").alias("b"))), rows)
+    found = written(connected.withColumnRenamed("node", "class").join(sizes, "class"), "found", rows)
     placed = join_skewed(members, found, ["class"], "n", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "class")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
