@@ -1,14 +1,18 @@
 """License scan by MinHash bands over overlapping text windows; DataFrame functions only.
 
-Texts and license templates become token shingles. A template is represented by all its windows of one of the
-``LENGTHS`` (the longest that fits in it); a text by the windows of each length that start with a shingle of some
-template, one token apart where they overlap: any other window shares nothing with a template before its first such
-shingle. Windows are signed by ``BANDS`` bands of ``ROWS`` minima, and a text window retrieves a template when a band of
-theirs is equal. With 12 bands of 2, windows with a Jaccard similarity of 0.6 meet with a probability of 99.5 %, at 0.8
-of 99.9995 %; a verbatim template always meets. Around each retrieval, the share of the template's shingles that the
-text has is taken exactly; from ``containment`` on it is a match.
-
-The templates are an argument, so their size is known: they are checked to have ``MOST_SHINGLES`` at most and broadcast.
+Texts and license templates become token shingles. A template is represented by all its windows of two lengths: the
+longest of ``LENGTHS`` that fits into it, and the longest run of shingles that is left whichever ones a text lacks
+(``_run``), so short and cut notices have windows too. A text has windows of the same lengths, cut at neither of its
+ends, from every shingle on that some template has, one token apart where they overlap: any other window shares nothing
+with a template before its first such shingle. Windows are signed by ``BANDS`` bands of ``ROWS`` minima, and a text
+window retrieves a template when a band of theirs is equal. With 12 bands of 2, windows with a Jaccard similarity of 0.6
+meet with a probability of 99.5 %, at 0.8 of 99.9995 %; a run that is left meets in any case, so no notice is missed
+from which tokens were cut, replaced or put between others. For each template retrieved, the share of its shingles that
+the whole text has is taken exactly; from ``containment`` on it is a match.
+
+Only a text's key leaves it with its windows. Texts that retrieve a template are read again to be verified, each
+once however many of its windows met. Templates are broadcast where they are counted to have ``MOST_SHINGLES`` at most,
+the retrieved pairs up to ``BROADCAST_HITS``; beyond that the same joins are shuffled.
 """
 
 from __future__ import annotations
@@ -16,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fidelis.llm.common import bounded, written
 from fidelis.llm.decontam import tokens
 
-SHINGLE, LENGTHS, BANDS, ROWS, MOST_SHINGLES = 3, (3, 5, 8, 16, 32), 12, 2, 20_000
+SHINGLE, LENGTHS, BANDS, ROWS, MOST_SHINGLES, BROADCAST_HITS = 3, (3, 5, 8, 16, 32), 12, 2, 20_000, 500_000
 
 #: Notices of common licenses (public texts).
 TEMPLATES: dict[str, list[str]] = {
@@ -55,6 +60,23 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+        " granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+        " which is available at https://www.eclipse.org/legal/epl-2.0",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,"
+        " compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,"
+        " commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to"
+        " this software to the public domain worldwide. This software is distributed without any warranty.",
+    ],
     "all-rights-reserved": ["All rights reserved."],
 }
 
@@ -81,36 +103,44 @@ def _bands(length: Column | int, at: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * ROWS + r) for r in range(ROWS)]).alias("value")) for b in range(BANDS)])
 
 
+def _run(containment: float) -> Column:
+    """The longest run of consecutive shingles that ``h`` keeps, however those that it may lack are spread over it."""
+    left = F.ceil(F.size(F.array_distinct("h")) * containment - 1e-9)
+    return F.ceil(left / (F.size("h") - left + 1)).cast("int")
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.8) -> DataFrame:
     """``(doc_id, license, containment, token)``: a row for each text and license whose template it contains.
 
     Takes ``docs(doc_id, text)``; other columns are ignored. Of a license's templates the best matched counts, of equal
-    matches the first; ``token`` is about where it begins. Null, empty and very short texts match nothing; rows that
-    repeat, or share a ``doc_id``, give one row per license; a null ``doc_id`` stays. An empty table gives no rows.
+    matches the first; ``token`` is about where it begins. Null, empty and very short texts match nothing, texts may be
+    of any length; rows that repeat, or share a ``doc_id``, give one row per license; a null ``doc_id`` stays. An empty
+    table gives no rows, and so do templates of fewer than three tokens.
     """
     spark: SparkSession = docs.sparkSession
     named = [(name, n, text) for name, texts in sorted((templates or TEMPLATES).items()) for n, text in enumerate(texts)]
     held = _hashed(spark.createDataFrame(named, "license string, template int, text string"), ["license", "template"]).filter(F.size("h") > 0)
-    held = held.select("license", "template", F.col("h").alias("whole"), "h")
-    known = held.select(F.explode("h").alias("x")).distinct()
-    if (n := known.count()) > MOST_SHINGLES:
-        raise ValueError(f"templates of {n} shingles; {MOST_SHINGLES} at most can be broadcast")
-    sizes = [n - SHINGLE + 1 for n in LENGTHS]
-    size = F.coalesce(*[F.when(F.size("h") >= m, F.lit(m)) for m in reversed(sizes)])
-    own = held.withColumn("m", size).withColumn("q", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("m"))))
-    own = own.select("license", "template", "whole", "m", "q", F.inline(_bands(F.col("m"), F.col("q"))))
-
-    starts = _hashed(docs, ["doc_id"]).select("doc_id", "h", F.posexplode_outer("h").alias("p", "x")).join(F.broadcast(known), "x")
+    known = bounded(held.select(F.explode("h").alias("x")).distinct(), MOST_SHINGLES)
+    longest = F.coalesce(*[F.when(F.size("h") >= n - SHINGLE + 1, F.lit(n - SHINGLE + 1)) for n in reversed(LENGTHS)])
+    own = held.withColumn("m", F.explode(F.array_distinct(F.array(longest, _run(containment)))))
+    sizes = sorted(r["m"] for r in own.select("m").distinct().collect())  # LENGTHS, and the few lengths that runs have
+    own = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("m"))))
+    own = own.select("license", "template", "m", "q", F.inline(_bands(F.col("m"), F.col("q"))))
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    starts = _hashed(keyed, ["key"]).select("key", "h", F.posexplode_outer("h").alias("p", "x")).join(known, "x")
     fitting = F.filter(F.array(*map(F.lit, sizes)), lambda m: F.col("p") + m <= F.size("h"))
-    windows = starts.select("doc_id", "h", "p", F.explode(fitting).alias("m"))
-    bands = windows.select("doc_id", "h", "m", "p", F.inline(_bands(F.col("m"), F.col("p"))))
-    met = bands.join(F.broadcast(own), ["m", "band", "value"])
-    slack = F.ceil(F.size("whole") / 4).cast("int") + 1
-    begin = F.greatest(F.lit(0), F.col("p") - F.col("q") - slack)
-    region = F.slice("h", begin + 1, F.size("whole") + slack * 2)
-    wanted = F.array_distinct("whole")
-    shared = F.size(F.array_intersect(wanted, region)) / F.size(wanted)
-    found = met.select("doc_id", "license", shared.alias("containment"), F.greatest(F.lit(0), F.col("p") - F.col("q")).cast("long").alias("token"))
-    found = found.filter(F.col("containment") >= containment - 1e-9)
+    windows = starts.select("key", "h", "p", F.explode(fitting).alias("m"))
+    bands = windows.select("key", "m", "p", F.inline(_bands(F.col("m"), F.col("p"))))
+    met = bands.join(bounded(own, MOST_SHINGLES * BANDS * 2), ["m", "band", "value"])
+    place = F.greatest(F.lit(0), F.col("p") - F.col("q")).cast("long")
+    met = met.groupBy("key", "license", "template").agg(F.min(place).alias("token"))
+    hits = met.groupBy("key").agg(F.collect_list(F.struct("license", "template", "token")).alias("hits"))  # as many as templates
+    hits = bounded(written(hits, "licenses"), BROADCAST_HITS)
+    again = _hashed(keyed.join(hits, "key"), ["doc_id", "hits"]).withColumnRenamed("h", "text_h")
+    each = again.select("doc_id", "text_h", F.inline("hits")).join(bounded(held, MOST_SHINGLES), ["license", "template"])
+    wanted = F.array_distinct("h")
+    shared = F.size(F.array_intersect(wanted, "text_h")) / F.size(wanted)
+    found = each.select("doc_id", "license", shared.alias("containment"), "token").filter(F.col("containment") >= containment - 1e-9)
     best = found.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("token")).alias("back"))).alias("best"))
     return best.select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).alias("token"))

@@ -175,6 +175,45 @@ def test_licenses_match_brute_force(spark, corpus):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_damaged_licenses_are_all_found(spark):
+    """Every template cut at either end, with words replaced, left out and put in, at the start, the end and inside of texts."""
+    rng = random.Random(13)
+    tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    grams = lambda w: set(zip(w, w[1:], w[2:]))
+    rows = []
+    for name, texts in licenses.TEMPLATES.items():
+        for note in texts:
+            whole = tokens(note)
+            for n in range(24):
+                words, some = list(whole), max(1, len(whole) // 20)
+                for _ in range(rng.randint(1, some)):
+                    at, kind = rng.randrange(len(words)), n % 5
+                    if kind == 0:
+                        words.pop(0)
+                    elif kind == 1:
+                        words.pop()
+                    elif kind == 2:
+                        words[at] = "replaced"
+                    elif kind == 3:
+                        words.insert(at, "inserted")
+                    else:
+                        del words[at]
+                before, after = prose(rng, 12 * (n % 3 > 0)), prose(rng, 12 * (n % 4 > 1))
+                rows.append((len(rows), f"{before} {' '.join(words)} {after}".strip()))
+    want = {(i, n) for i, t in rows for n, ts in licenses.TEMPLATES.items() for x in ts if len(grams(tokens(x)) & grams(tokens(t))) >= 0.8 * len(grams(tokens(x)))}
+    assert len(rows) > 450 and len(want) > 300
+    assert {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
+def test_licenses_without_broadcasts(spark, monkeypatch):
+    rows = [(i, f"{prose(random.Random(i), 20)} {ts[0]}") for i, ts in enumerate(licenses.TEMPLATES.values())]
+    df = spark.createDataFrame(rows, DOCS)
+    whole = sorted(map(tuple, licenses.scan(df).collect()))
+    monkeypatch.setattr(licenses, "MOST_SHINGLES", 10)
+    monkeypatch.setattr(licenses, "BROADCAST_HITS", 0)
+    assert sorted(map(tuple, licenses.scan(df).collect())) == whole and len(whole) >= len(licenses.TEMPLATES)
+
+
 # ---- 5 toxicity
 
 
