@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
-There are two zstandard dictionaries. The ordinary one is trained on the windows of ordinary text. Most words of a toxic
-text are ordinary too, so zstandard's trainer, given toxic windows, fills a dictionary with what both kinds share
-(figures in the README). The toxic one is therefore laid out from the parts of toxic words that mark them: segments that
-``LIFT`` times as large a share of toxic documents has, with a log likelihood of ``GAIN``. It lies behind a copy of the
-ordinary one, so what both kinds of text share costs the same and cancels out: a window of a few words is compressed
-with each, and the bytes that the toxic one saves are the window's distance.
-
-Two thresholds are calibrated on labelled documents that the dictionaries haven't seen: from which saving on a window
-counts (best F1), and from which sum of such savings on a document is toxic (best F0.5, which weighs precision more).
+Two zstandard dictionaries are trained apart. The ordinary one is trained on windows of ordinary text. The toxic one is
+trained on toxic text from which what ordinary text has as well is taken out first: most words of a toxic text are
+ordinary, and zstandard's trainer, given them all, would spend the dictionary on those (figures in the README). What is
+left are letter segments that ``LIFT`` times as large a share of toxic documents has, with a log likelihood of ``GAIN``.
+The toxic dictionary is laid behind a copy of the ordinary one, so that what both kinds of text share costs the same and
+cancels out: a window of a few words is compressed with each, and the bytes that the toxic one saves are its distance.
+
+A document's evidence is what its windows save, those that save enough, for each window that it has. Two thresholds are
+calibrated on documents that the toxic dictionary in question hasn't seen, each half of the sample with one from the
+other half: from which saving on a window counts, and from which evidence on a document is toxic (best F0.5, which
+weighs precision more). The final dictionaries are trained on all of the sample.
 
 Labels are learned from a bounded sample (``sample`` toxic documents and twice as many ordinary ones, those with the
 smallest digests of their ids), whole texts of it; every whole text is scored, a window at a time.
@@ -22,18 +24,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import sampled
+from fidelis.llm.common import kept, sampled
 
 #: Words in a window and from one window to the next.
 WINDOW, STEP = 6, 3
 #: Letters in a marking segment; how much more often (by documents) toxic text has it, and the log likelihood of that.
 SEGMENT, LIFT, GAIN = (5, 6, 7), 4.0, 6.0
-#: Bytes of the dictionaries; compression level, shortest match, bits of the tables.
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL, MIN_MATCH, TABLE = 32_768, 1_024, 3, 5, 18
+#: Bytes of the dictionaries, which zstandard's trainer fills with the commonest parts; how much text it wants for each
+#: byte; compression level, shortest match, bits of the tables; windows that every document is taken to have in addition,
+#: so that a very short one needs more than one of its few.
+ORDINARY_BYTES, TOXIC_BYTES, WANTED, LEVEL, MIN_MATCH, TABLE, SMOOTHING = 32_768, 1_024, 100, 3, 5, 18, 10
 
 
 def windows(text: str | None) -> Iterator[bytes]:
@@ -43,21 +48,34 @@ def windows(text: str | None) -> Iterator[bytes]:
         yield (" " + " ".join(words[at : at + WINDOW]) + " ").encode()
 
 
-def segments(text: str) -> set[str]:
-    return {w[i : i + n] for w in {f" {w} " for w in text.lower().split()} for n in SEGMENT for i in range(len(w) - n + 1)}
+def segments(words: set[str]) -> set[str]:
+    return {w[i : i + n] for w in (f" {w} " for w in words) for n in SEGMENT for i in range(len(w) - n + 1)}
+
+
+def counted(texts: list[str]) -> Counter:
+    """How many of the texts have each segment.
+
+    A word counts once with the words beside it, so a text's copies and near-copies don't make its rare words common.
+    """
+    out, seen = Counter(), set()
+    for t in texts:
+        words = ["", *t.lower().split(), ""]
+        fresh = set()
+        for before, word, after in zip(words, words[1:], words[2:]):
+            if (place := xxhash.xxh3_64_intdigest(f"{before} {word} {after}")) not in seen:
+                seen.add(place)
+                fresh.add(word)
+        out.update(segments(fresh))
+    return out
 
 
-def marks(toxic: list[str], ordinary: list[str]) -> set[str]:
+def marks(have: Counter, lack: Counter, n_toxic: int, n_ordinary: int) -> set[str]:
     """Segments that toxic texts have more often than ordinary ones, by more than chance gives."""
-    have, lack = Counter(), Counter()
-    for texts, counts in ((toxic, have), (ordinary, lack)):
-        for t in texts:
-            counts.update(segments(t))
-    share = len(toxic) / max(1, len(toxic) + len(ordinary))
+    share = n_toxic / max(1, n_toxic + n_ordinary)
     out = set()
     for piece, n in have.items():
         expected = (n + lack[piece] + 1) * share
-        if n * (len(ordinary) or 1) >= LIFT * (lack[piece] + 1) * len(toxic) and n * np.log(n / expected) - (n - expected) >= GAIN:
+        if n * (n_ordinary or 1) >= LIFT * (lack[piece] + 1) * n_toxic and n * np.log(n / expected) - (n - expected) >= GAIN:
             out.add(piece)
     return out
 
@@ -77,18 +95,18 @@ def marked(text: str, found: set[str]) -> list[bytes]:
     return out
 
 
-def trained(samples: list[bytes]) -> bytes:
-    """zstandard's dictionary for windows of ordinary text; empty where there is too little to train on."""
-    try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes() if samples else b""
-    except zstandard.ZstdError:
-        return b""
-
+def trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary of ``size`` bytes or, where there is too little to train on, of the next smaller size that it can fill.
 
-def laid_out(parts: list[bytes]) -> bytes:
-    """A dictionary of the distinct parts, the commonest last, where offsets are shortest."""
-    counts = sorted(Counter(parts).items(), key=lambda x: (x[1], x[0]))
-    return b"".join(p for p, n in counts if n > 1)[-TOXIC_BYTES:]
+    A small sample is repeated, as the trainer wants much more text than the dictionary has bytes.
+    """
+    again = max(1, WANTED * size // max(1, sum(map(len, samples))))
+    while samples and size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples * min(again, WANTED)).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b""
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -105,9 +123,9 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 class Model:
     ordinary: bytes
     toxic: bytes
-    #: The saving from which on a window counts, the sum of such savings from which on a document is toxic.
+    #: The saving from which on a window counts, the evidence from which on a document is toxic.
     window: int
-    document: int
+    document: float
 
 
 class Scorer:
@@ -122,40 +140,47 @@ class Scorer:
         return [len(plain(w)) - len(both(w)) for w in windows(text)]
 
     def score(self, text: str | None) -> float:
-        evidence = sum(s for s in self.savings(text) if s >= self.model.window)
-        return evidence / (evidence + self.model.document)
+        found = evidence(self.savings(text), self.model.window)
+        return found / (found + self.model.document)
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from half of the sample, thresholds from the other half, where the kinds weigh as in the whole sample."""
-    found = marks(toxic[::2], ordinary[::2])
-    plain = trained([w for t in ordinary[::2] for w in windows(t)])
-    model = Model(plain, laid_out([p for t in toxic[::2] for p in marked(t, found)]), 1 << 20, 1)
-    scorer = Scorer(model)
-    each = [(kind, scorer.savings(t)) for kind, texts in ((True, toxic[1::2]), (False, ordinary[1::2])) for t in texts]
-    kinds = np.array([kind for kind, _ in each], bool)
+def evidence(savings: list[int], least: int) -> float:
+    return sum(s for s in savings if s >= least) / (len(savings) + SMOOTHING)
 
-    def fits(least: int, beta: float) -> list[tuple[float, int]]:
-        sums = np.array([sum(s for s in savings if s >= least) for _, savings in each], np.int64)
-        bounds = np.unique(sums[sums > 0]).tolist()
-        return [((1 + beta**2) * (kinds & (sums >= b)).sum() / ((sums >= b).sum() + beta**2 * kinds.sum()), b) for b in bounds]
 
-    windows_fit = [(max(f)[0], -least) for least in range(2, 9) if (f := fits(least, 1.0))]
-    if windows_fit and max(windows_fit)[0] > 0:
-        model.window = -max(windows_fit)[1]
-        model.document = max(fits(model.window, 0.5))[1]
-    return model
+def toxic_dictionary(toxic: list[str], found: set[str]) -> bytes:
+    return trained([b"".join(p) for t in toxic if (p := marked(t, found))], TOXIC_BYTES)
 
 
-_SCORERS: dict[tuple, Scorer] = {}
+def fit(toxic: list[str], ordinary: list[str], beta: float = 0.5) -> Model:
+    """Dictionaries from all of the sample, thresholds from each half of it with a toxic dictionary from the other half.
+
+    ``beta`` weighs precision against recall, as in the F measure: below 1, precision counts for more. The ordinary
+    dictionary is in both of a comparison's sides, so the halves share it.
+    """
+    plain = trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
+    halves = [[texts[half::2] for half in (0, 1)] for texts in (toxic, ordinary)]
+    have, lack = ([counted(texts) for texts in kind] for kind in halves)
+    each: list[tuple[bool, list[int]]] = []
+    for half in (0, 1):
+        found = marks(have[half], lack[half], len(halves[0][half]), len(halves[1][half]))
+        scorer = Scorer(Model(plain, toxic_dictionary(halves[0][half], found), 1 << 20, 1.0))
+        each += [(kind, scorer.savings(t)) for kind, texts in ((True, halves[0]), (False, halves[1])) for t in texts[1 - half]]
+    kinds, best = np.array([kind for kind, _ in each], bool), (0.0, 1 << 20, 1.0)
+    for least in range(2, 9):
+        sums = np.array([evidence(savings, least) for _, savings in each])
+        order = np.argsort(-sums, kind="stable")
+        fits = (1 + beta**2) * kinds[order].cumsum() / (np.arange(1, len(order) + 1) + beta**2 * max(1, kinds.sum()))
+        last = np.append(sums[order][:-1] > sums[order][1:], True) & (sums[order] > 0)  # a threshold takes all of equal evidence
+        if last.any():
+            at = int(np.where(last, fits, -1).argmax())
+            best = max(best, (float(fits[at]), least, float(sums[order][at])))
+    found = marks(have[0] + have[1], lack[0] + lack[1], len(toxic), len(ordinary))
+    return Model(plain, toxic_dictionary(toxic, found), best[1], best[2])
 
 
 def _scorer(model: Model) -> Scorer:
-    key = (model.ordinary, model.toxic, model.window, model.document)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    return kept((model.ordinary, model.toxic, model.window, model.document), lambda: Scorer(model))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 2_000, sample_chars: int = 50_000_000) -> Model:

@@ -143,7 +143,7 @@ def test_toxicity_equals_a_plain_version(spark):
         starts = range(0, max(len(words) - toxicity.WINDOW + toxicity.STEP, 1), toxicity.STEP) if words else []
         cut = [(" " + " ".join(words[a : a + toxicity.WINDOW]) + " ").encode() for a in starts]
         saved = [length(model.ordinary or b" " * 8, w) - length(model.ordinary + model.toxic, w) for w in cut]
-        sure = sum(s for s in saved if s >= model.window)
+        sure = sum(s for s in saved if s >= model.window) / (len(saved) + toxicity.SMOOTHING)
         assert r["score"] == pytest.approx(sure / (sure + model.document)) and r["predicted"] == (r["score"] >= 0.5)
     assert [r["predicted"] for r in got[:6]] == [1, 0, 0, 0, 1, 0]
 
@@ -154,7 +154,15 @@ def test_toxicity_uses_whole_texts():
     toxic = [prose(rng, 700) + " zwurgling " + prose(rng, 3) + " zwurgling " + prose(rng, 3) for _ in range(40)]  # the marks come last
     model = toxicity.fit(toxic, ordinary)
     scorer = toxicity.Scorer(model)
-    assert scorer.score(prose(rng, 20_000) + " zwurgling and " + prose(rng, 3) + " zwurgling") >= 0.5 > scorer.score(prose(rng, 300))
+    marked = lambda n: " ".join(f"{prose(rng, 300)} zwurgling and {prose(rng, 3)} zwurgling" for _ in range(n))
+    assert scorer.score(prose(rng, 3_000) + " " + marked(10)) >= 0.5 > scorer.score(prose(rng, 300))  # none in the first 3,000 words
+    assert scorer.score(prose(rng, 20_000) + " zwurgling") > 0
+
+
+def test_copies_do_not_make_words_common():
+    text = prose(random.Random(6), 90) + " plompforth " + prose(random.Random(7), 90)
+    copies = [text.replace(" ", f" n{i} ", 1) + f" tail{i}" for i in range(50)]
+    assert toxicity.counted(copies)[" plomp"] == 1 and toxicity.counted([f"a{i} zwurg b{i}" for i in range(50)])[" zwurg"] == 50
 
 
 # ---- 6 pages: subtrees counted per host by a plain version
