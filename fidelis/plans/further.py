@@ -218,7 +218,7 @@ def j1_stream(spark, sf_dir):
     report = lambda d, t: d.select(name(t).alias("study_id"), F.col("turn").cast("string").alias("report_id"), "text", "uploaded_at")
     met = pair_stream(report(arriving(), F.col("turn")), report(arriving(), F.col("turn") - 1), late="1 hour", wait="1 hour")
     gate_stream(met, FINDINGS, LEXICON, f"{path}/out", f"{path}/state", T).awaitTermination()
-    return read_verdicts(spark, f"{path}/out").groupBy("routed", "decision").agg(F.count("*").alias("n"))
+    return read_verdicts(spark, f"{path}/out", level="batch").groupBy("routed", "decision").agg(F.count("*").alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

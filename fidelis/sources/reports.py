@@ -97,40 +97,42 @@ def _path(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_verdicts(df: DataFrame, path: str, run: str, by: tuple[str, ...] = ("decision",)) -> None:
+def write_verdicts(df: DataFrame, path: str, run: str | None = None, by: tuple[str, ...] = ("decision",), level: str = "run") -> None:
     """Publishes a run's verdicts under ``path/run=<run>``, by decision, so blocked rewrites lie apart from accepted ones.
 
     Other runs stay as they are; a run that is written again replaces all of its own, decisions that it no longer has
     included. A mark is set last: until then ``read_verdicts`` doesn't see the run, so readers never get half of one.
+    Without a ``run`` all of ``path`` is one, and is replaced. ``level`` names the folders' column.
     """
-    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", run):
+    if run is not None and not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", run):
         raise ValueError(f"{run!r} can't name a folder")
-    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/run={run}")
-    mark, store = _path(df.sparkSession, f"{path}/run={run}/{COMMITTED}")
+    target = path if run is None else f"{path}/{level}={run}"
+    df.write.mode("overwrite").partitionBy(*by).parquet(target)
+    mark, store = _path(df.sparkSession, f"{target}/{COMMITTED}")
     store.create(mark, True).close()
 
 
-def committed_runs(spark: SparkSession, path: str) -> list[str]:
+def committed_runs(spark: SparkSession, path: str, level: str = "run") -> list[str]:
     """The runs under ``path`` that were written whole."""
     folder, store = _path(spark, path)
     if not store.exists(folder):
         return []
     names = [s.getPath().getName() for s in store.listStatus(folder)]
-    return sorted(n[4:] for n in names if n.startswith("run=") and store.exists(_path(spark, f"{path}/{n}/{COMMITTED}")[0]))
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{level}=") and store.exists(_path(spark, f"{path}/{n}/{COMMITTED}")[0]))
 
 
-def read_verdicts(spark: SparkSession, path: str, runs: list[str] | None = None) -> DataFrame:
-    """Verdicts of all committed runs, or of the named ones, with a string column ``run``; only their folders are listed.
+def read_verdicts(spark: SparkSession, path: str, runs: list[str] | None = None, level: str = "run") -> DataFrame:
+    """Verdicts of all committed runs, or of the named ones, with their names as strings; only their folders are listed.
 
     There is nothing to tell the columns from if all of them are without verdicts; that is an error, as is a missing run.
     """
-    known = committed_runs(spark, path)
+    known = committed_runs(spark, path, level)
     if missing := sorted(set(runs or []) - set(known)):
         raise ValueError(f"not committed: {', '.join(missing)}")
     wanted = known if runs is None else sorted(set(runs))
     if not wanted:
         raise ValueError(f"no committed run in {path}")
-    folders = [f"{path}/run={r}" for r in wanted]
+    folders = [f"{path}/{level}={r}" for r in wanted]
     found = spark.read.option("basePath", path).parquet(*folders).schema
-    found = StructType([StructField(f.name, StringType() if f.name == "run" else f.dataType) for f in found])  # a run named 007 isn't 7
+    found = StructType([StructField(f.name, StringType() if f.name == level else f.dataType) for f in found])  # a run named 007 isn't 7
     return spark.read.schema(found).option("basePath", path).parquet(*folders)

@@ -29,15 +29,16 @@ def pair_stream(originals: DataFrame, rewrites: DataFrame, late: str = "1 hour",
 
 def gate_stream(stream: DataFrame, rules: list[Finding], lexicon: list[Term], out: str, checkpoint: str, thresholds: Thresholds = Thresholds(),
                 require_approve: bool = False) -> StreamingQuery:
-    """Judges each micro-batch of pairs and publishes its verdicts as a run ``batch-<number>``, by route and decision.
+    """Judges each micro-batch of pairs and publishes its verdicts under ``out/batch=<number>``, by route and decision.
 
     ``stream`` has ``(pair_id, original_text, humanized_text)``, from ``pair_stream`` say. ``routed`` is ``accepted`` or
-    ``blocked``. A batch that runs again after a failure replaces its own verdicts; ``read_verdicts`` reads them all.
+    ``blocked``. A batch that runs again after a failure replaces its own verdicts; ``read_verdicts`` with the level
+    ``batch`` reads them all.
     """
 
     def judge(batch: DataFrame, number: int) -> None:
         verdicts = evaluate_pairs(batch, rules, lexicon, thresholds)
         verdicts = verdicts.withColumn("routed", F.when(accepted(require_approve), "accepted").otherwise("blocked"))
-        write_verdicts(verdicts, out, f"batch-{number:09d}", ("routed", "decision"))
+        write_verdicts(verdicts, out, str(number), ("routed", "decision"), "batch")
 
     return stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
