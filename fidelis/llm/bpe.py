@@ -199,7 +199,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "t
     """``df`` with a binary column ``ids``: the tokens of the whole text, little-endian unsigned 32-bit integers.
 
     A null or empty text has no tokens (an empty binary). Special tokens inside a text count as such, none is added.
-    Repeated rows stay; a column already named ``ids`` is replaced; an empty table gives an empty table.
+    Texts may be of any length: the time of a word is linear in it, and a batch of texts shares its words. Repeated rows stay; a column already named ``ids`` is replaced; an empty table gives an empty table.
     """
     source = _sent(df, tokenizer_path)
 
@@ -213,7 +213,11 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "t
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids", back: str = "decoded") -> DataFrame:
-    """``encode`` and ``decode`` in one pass, so that a worker holds one set of tables; null texts count as empty."""
+    """``encode`` and ``decode`` in one pass, so that a worker holds one set of tables.
+
+    A null or empty text has no tokens and decodes to an empty text. Texts may be of any length. Repeated rows stay;
+    columns already named ``ids`` or ``back`` are replaced, others stay; an empty table gives an empty table.
+    """
     source = _sent(df, tokenizer_path)
 
     @F.pandas_udf("ids binary, back string")

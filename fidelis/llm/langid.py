@@ -115,7 +115,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``similarity``, the cosine with the language's prototype.
 
-    ``und``, 0 and 0 for null texts and texts without letters, or without prototypes. Of equal cosines the first name
+    ``und``, 0 and 0 for null texts and texts without letters, or without prototypes. Whole texts of any length are
+    bundled, distinct n-grams at a time. Of equal cosines the first name
     counts. Columns with these names are replaced; rows repeat as they do in ``docs``; an empty table gives an empty one.
     """
     names = sorted(prototypes)

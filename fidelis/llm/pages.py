@@ -215,7 +215,7 @@ def extract(pages: DataFrame, min_pages: int = 3, share: float = 0.3, broadcast_
     once; a passage outside marked articles (an element of CONTENT) has to be on ``share`` of them as well. Blocks are
     joined by a newline, white space inside a block is one space, character references are decoded, nothing else is
     dropped. Null and empty html give an empty text; a page without a host has no template but is read like any other.
-    Rows repeat as in ``pages``; other columns stay, columns named ``text`` or ``n_chars`` are replaced; an empty table
+    Pages may be of any length and nested to any depth. Rows repeat as in ``pages``; other columns stay, columns named ``text`` or ``n_chars`` are replaced; an empty table
     gives an empty table.
     """
     keyed = pages.withColumn("__key", F.xxhash64("url", "html"))

@@ -80,6 +80,24 @@ def test_every_stage_on_empty_partitions(spark, tmp_path, kind):
     assert corpus_pipeline.run(spark, sf).count() == (0 if kind != "some" else 3)  # doc 0 holds a benchmark item
 
 
+def test_every_stage_on_very_long_texts(spark, tmp_path):
+    """Each stage on texts of up to 200,000 words, alike but for a few, one of which holds a benchmark item at its end."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    item = prose(rng, 40)
+    lines = ["\n".join(prose(rng, 19) for _ in range(n)) for n in (10_000, 500, 500)]
+    texts = [lines[0], lines[0] + "\nand one more line of its own", lines[1], lines[2] + "\n" + item, "short text here"]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in enumerate(texts)], DOCUMENTS)
+    save(spark, spark.createDataFrame([(1, item)], "item_id long, text string"), tmp_path, "benchmark")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        kept[name] = {r["doc_id"]: r for r in stage(spark, docs, str(tmp_path)).collect()}
+    assert set(kept["language"]) == {0, 1, 2, 3, 4} == set(kept["tokens"]) and set(kept["near_copies"]) == {0, 2, 3, 4} and set(kept["benchmark"]) == {0, 1, 2, 4}
+    assert kept["lines"][0]["text"] == texts[0] and kept["lines"][1]["text"] == "and one more line of its own"
+    assert all(r["round_trip"] and r["n_tokens"] > 0 for r in kept["tokens"].values())
+
+
 def test_helpers_join_and_broadcast(spark):
     many = spark.createDataFrame([(1, i) for i in range(50)] + [(k, 0) for k in range(2, 9)], "k long, v long")
     one = many.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 5").withColumn("w", F.col("k") * 10)
