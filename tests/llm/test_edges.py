@@ -28,7 +28,7 @@ def save(spark, df, path, name):
 
 
 def tables(spark, path, kind):
-    """The six tables: "some" has partitions that the labels' and folds' filters empty, "nulls" only nulls but for a key, "none" no rows."""
+    """The tables: "some" has partitions that the labels' and folds' filters empty, "nulls" only nulls but for a key, "none" no rows."""
     rng = random.Random(7)
     docs = [(i, prose(rng, 60) + "\n" + prose(rng, 9), "aa", "s", 1) for i in range(4)] + [(50, None, None, None, None)]
     rows = {
@@ -36,6 +36,7 @@ def tables(spark, path, kind):
         "benchmark": ([(1, prose(rng, 20)), (2, docs[0][1][:200])], "item_id long, text string"),
         "pages": ([(i, f"https://a.example/{i}", f"<body><p>own {i}</p></body>") for i in range(3)], "page_id long, url string, html string"),
         "conversations": ([(1, 0, "user", "hi"), (1, 1, "assistant", "ho")], "conv_id long, turn long, role string, text string"),
+        "embeddings": ([(i, [i / 8] * 64) for i in range(3)], "vec_id long, embedding array<float>"),
     }
     for name, (found, schema) in rows.items():
         if kind == "none":
@@ -54,8 +55,12 @@ def test_every_query_on_empty_partitions(spark, tmp_path, kind):
     n_docs, n_pages = (5, 3) if kind == "some" else (3, 3) if kind == "nulls" else (0, 0)
     for name, query in QUERIES.items():
         rows = query(spark, sf).collect()
-        if name.startswith(("op2_", "op3_", "op5_", "op7_", "op8_", "op10_")):
+        if name.startswith(("op2_", "op3_", "op5_", "op7_", "op8_", "op10_", "op13_")):
             assert len(rows) == n_docs, name
+        elif name.startswith("op11_"):
+            assert len(rows) == (3 if kind == "some" else 0)
+        elif name.startswith("op12_"):
+            assert len(rows) == 600 * {"some": 2, "nulls": 1, "none": 0}[kind]
         elif name.startswith("op6_"):
             assert len(rows) == n_pages
         elif name.startswith("op1_"):
