@@ -45,8 +45,8 @@ SENTENCE = r"\b\w[^\s.!?]*+(?:\s[^\w.!?]*+\w[^\s.!?]*+){2}[^.!?]*+[.!?]*+"
 
 def measures(text: Column) -> dict[str, Column]:
     """Counts of a plain text: characters, letters, words, sentences, syllables. Each is one pass that copies nothing."""
-    count = lambda pattern: F.regexp_count(text, F.lit(f"(?iU){pattern}"))
-    lone = count(rf"\b[{VOWELS}](?=(?:{OPENING}|[^{VOWELS}\W\d_])[{VOWELS}])")
+    count = lambda pattern: F.regexp_count(text, F.lit(f"(?U){pattern}"))
+    lone = count(rf"\b[{VOWELS}](?=(?:(?i:{OPENING})|[^{VOWELS}\W\d_])[{VOWELS}])")
     # Words without a vowel: runs without one, less those of punctuation only.
     mute = count(rf"(?<!\S)[^\s{VOWELS}]++(?!\S)") - count(r"(?<!\S)[^\s\w]++(?!\S)")
     return {
