@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.functions.readability import BANDS, corpus_card
-from fidelis.functions.text import n_words, sentence_rows
+from fidelis.functions.text import n_words, searched, sentence_rows
 from fidelis.operators import checklist, delivery, entities, judge, sentences
 from fidelis.plans import gate
 from fidelis.plans import queries as base
@@ -121,7 +121,7 @@ def e2_synonyms(spark, sf_dir):
 
 
 def e3_knee_lexicon(spark, sf_dir):
-    k = _knee(spark, sf_dir)
+    k = _knee(spark, sf_dir).select("doc_id", searched(F.col("text"), knee.LEXICON).alias("text"))
     return k.select("doc_id", F.array_join(entities.canonicals(F.col("text"), knee.LEXICON), ",").alias("canonicals"))
 
 
